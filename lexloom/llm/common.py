@@ -73,15 +73,15 @@ def with_rank(df: DataFrame, keys: Sequence[str], bucket: Column, order: Sequenc
         counts = counts.withColumn("__all", F.lit(1))
         before = Window.partitionBy("__all").orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*keys, b, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
-    offsets = offsets.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col(b).alias("__b"), "__before")
+    offsets = offsets.select(*[F.col(k).alias(f"__rk{i}") for i, k in enumerate(keys)], F.col(b).alias("__b"), "__before")
     inside = Window.partitionBy(*keys, b).orderBy(*order)
     numbered = rows.withColumn("__in", F.row_number().over(inside))
     cond = numbered[b] == offsets["__b"]
     for i, k in enumerate(keys):
-        cond = cond & numbered[k].eqNullSafe(offsets[f"__k{i}"])
+        cond = cond & numbered[k].eqNullSafe(offsets[f"__rk{i}"])
     out = numbered.join(offsets, cond)
     return out.withColumn(name, (F.col("__before") + F.col("__in") - 1).cast("long")).drop(
-        b, "__in", "__before", "__b", *[f"__k{i}" for i in range(len(keys))]
+        b, "__in", "__before", "__b", *[f"__rk{i}" for i in range(len(keys))]
     )
 
 
