@@ -35,7 +35,7 @@ def targets(totals: dict[str | None, int], weight: Callable[[int, str | None], f
 
 
 def fit(lengths: list[tuple[int, int]], budget: int, slack: int = 4_096) -> dict[int, int]:
-    """How many documents of each length to take so that lengths sum to the budget, or to the closest sum found below it.
+    """How many documents of each length to take so that lengths sum to the budget, or to the sum nearest to it.
 
     lengths: (length, count). An even share of each length comes first; whole documents, longest first, then bring the
     rest below `slack`; the rest is a bounded knapsack over the documents left, solved exactly by sets of reachable sums
@@ -53,9 +53,10 @@ def fit(lengths: list[tuple[int, int]], budget: int, slack: int = 4_096) -> dict
             more = min(have[size] - take[size], max(0, rest - slack // 2) // size)
             take[size] += more
             rest -= more * size
-    mask, reached, steps = (1 << (rest + 1)) - 1, 1, []
+    top = rest + slack
+    mask, reached, steps = (1 << (top + 1)) - 1, 1, []
     for size in sorted(have):
-        n, part = min(have[size] - take[size], rest // size), 1
+        n, part = min(have[size] - take[size], top // size), 1
         while n > 0 and not reached >> rest & 1:
             k = min(part, n)
             steps.append((size, k, reached))
@@ -63,7 +64,10 @@ def fit(lengths: list[tuple[int, int]], budget: int, slack: int = 4_096) -> dict
             n, part = n - k, part * 2
         if reached >> rest & 1:
             break
-    at = reached.bit_length() - 1
+    at = (reached & ((2 << rest) - 1)).bit_length() - 1
+    over = reached >> rest
+    if over and (gap := (over & -over).bit_length() - 1) < rest - at:
+        at = rest + gap
     for size, k, before in reversed(steps):
         if not before >> at & 1:
             take[size] += k
