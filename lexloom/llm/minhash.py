@@ -177,9 +177,9 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     is null is null. Columns of the added names are replaced, others pass through.
 
     Each distinct text enters once. In every band, texts are compared with one of their bucket, then what is not yet connected
-    with another one, and after `rounds` such rounds all pairs that are left between different classes, so no candidate is
-    lost, while a bucket of thousands of copies costs one comparison each. Buckets and edges are rows; no bucket is
-    collected in a task.
+    with another one; after three such rounds, all pairs of different classes that also share a second band (two texts of
+    similarity 0.8 share at least one band with probability 0.9998, two with 0.997). A bucket of thousands of copies costs one
+    comparison each. Buckets and edges are rows; no bucket is collected in a task.
     """
     spark = docs.sparkSession
     tmp = Scratch(spark, "minhash")
@@ -263,9 +263,14 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
             own = open_.where("i = p").select("j", "h", F.col("root").alias("pr"))
             pairs = open_.join(own, ["j", "h"]).where("root <> pr").select(F.least("i", "p").alias("a"), F.greatest("i", "p").alias("b")).distinct()
         else:
-            # Few are left: pairs between different classes of a bucket, by a join on the bucket.
-            other = open_.select("j", "h", F.col("i").alias("b"), F.col("root").alias("rb"))
-            pairs = open_.withColumnRenamed("i", "a").join(other, ["j", "h"]).where("a < b and root <> rb").select("a", "b").distinct()
+            # What is left, such as buckets of unlike texts around a common passage, must share a second band.
+            two = open_.groupBy("i", "root").agg(F.sort_array(F.collect_list(F.struct("j", "h"))).alias("bs"))
+            keys = F.flatten(F.transform("bs", lambda x, n: F.transform(F.slice("bs", n + 2, settings.bands), lambda y: F.xxhash64(x["j"], x["h"], y["j"], y["h"]))))
+            two = two.select("i", "root", F.explode(keys).alias("k"))
+            split = two.groupBy("k").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("k")
+            two = tmp.keep(two.join(split, "k"), "two")
+            other = two.select("k", F.col("i").alias("b"), F.col("root").alias("rb"))
+            pairs = two.withColumnRenamed("i", "a").join(other, "k").where("a < b and root <> rb").select("a", "b").distinct()
         new = tmp.keep(verify(pairs), "links")
         links.append(new)
         edges = links[0]
