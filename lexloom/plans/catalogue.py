@@ -1,4 +1,498 @@
 """Queries over the driver's tables, one or more for each operator, with their DuckDB twins."""
 
-QUERIES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from lexloom.functions import text as X
+from lexloom.functions.filters import apply_filter
+from lexloom.operators import evaluate, fuse, rank, retrieve, route, store
+
+Q = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Q] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None, name: str | None = None):
+    """Registers a query under its function's name, with its twin."""
+
+    def add(f: Q) -> Q:
+        n = name or f.__name__
+        QUERIES[n] = f
+        if sql is not None:
+            ORACLES[n] = sql
+        return f
+
+    return add
+
+
+def t(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def r6(c, name: str):
+    return F.round(c, 6).alias(name)
+
+
+# ---- filters -------------------------------------------------------------------------------------------------------------------
+
+
+def labelled(s: SparkSession, d: str) -> DataFrame:
+    return t(s, d, "documents").select("doc_id", "lang", "source", "n_chars").join(t(s, d, "labels"), "doc_id", "left")
+
+
+LABELLED = "(SELECT d.doc_id, lang, source, n_chars, quality, toxic FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)"
+
+
+def _filter(name: str, spec: dict, where: str) -> None:
+    QUERIES[name] = lambda s, d: apply_filter(labelled(s, d), spec).select("doc_id", "quality", "toxic")
+    ORACLES[name] = f"SELECT doc_id, quality, toxic FROM {LABELLED} WHERE {where}"
+
+
+def c(field: str, op: str, value) -> dict:
+    return {"field": field, "operator": op, "value": value}
+
+
+_filter("filter_eq", c("meta.quality", "==", 1), "quality IS NOT DISTINCT FROM 1")
+_filter("filter_eq_null", c("quality", "==", None), "quality IS NULL")
+_filter("filter_ne", c("quality", "!=", 1), "quality IS DISTINCT FROM 1")
+_filter("filter_gt", c("n_chars", ">", 1000), "n_chars > 1000")
+_filter("filter_ge", c("toxic", ">=", 1), "coalesce(toxic >= 1, false)")
+_filter("filter_lt", c("quality", "<", 1), "coalesce(quality < 1, false)")
+_filter("filter_le", c("n_chars", "<=", 500), "n_chars <= 500")
+_filter("filter_in", c("lang", "in", ["en", "de"]), "lang IN ('en', 'de')")
+_filter("filter_in_null", c("quality", "in", [0, None]), "coalesce(quality = 0, true)")
+_filter("filter_not_in", c("quality", "not in", [0]), "NOT coalesce(quality = 0, false)")
+_filter("filter_and_or", {"operator": "AND", "conditions": [c("lang", "==", "en"), {"operator": "OR", "conditions": [c("quality", "==", 1), c("toxic", ">", 0)]}]}, "lang = 'en' AND (coalesce(quality = 1, false) OR coalesce(toxic > 0, false))")
+_filter("filter_not", {"operator": "NOT", "conditions": [c("lang", "==", "en"), c("quality", "==", 1)]}, "NOT (lang = 'en' AND coalesce(quality = 1, false))")
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_orderdate >= TIMESTAMP '1995-03-01' AND o_orderdate < TIMESTAMP '1995-06-01'")
+def filter_date_iso(s, d):
+    spec = {"operator": "AND", "conditions": [c("o_orderdate", ">=", "1995-03-01"), c("o_orderdate", "<", "1995-06-01T00:00:00")]}
+    return apply_filter(t(s, d, "orders"), spec).select("o_orderkey", "o_custkey")
+
+
+@query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events WHERE coalesce(CAST(json_extract(props, '$.k') AS BIGINT) > 50, false)")
+def filter_json_meta(s, d):
+    e = t(s, d, "events").withColumn("meta", F.parse_json("props"))
+    return apply_filter(e, c("meta.k", ">", 50)).select("event_id", F.variant_get("meta", "$.k", "bigint").alias("k"))
+
+
+# ---- routes --------------------------------------------------------------------------------------------------------------------
+
+RULES = {"long_en": {"operator": "AND", "conditions": [c("lang", "==", "en"), c("n_chars", ">", 1500)]}, "good": c("quality", "==", 1), "src": c("source", "in", ["src1", "src2"])}
+
+
+@query(f"""WITH l AS (SELECT * FROM {LABELLED}), r AS (
+  SELECT doc_id, 'long_en' AS route FROM l WHERE lang = 'en' AND n_chars > 1500 UNION ALL SELECT doc_id, 'good' FROM l WHERE quality = 1
+  UNION ALL SELECT doc_id, 'src' FROM l WHERE source IN ('src1', 'src2'))
+  SELECT doc_id, route FROM r UNION ALL SELECT doc_id, 'unmatched' FROM l WHERE doc_id NOT IN (SELECT doc_id FROM r)""")
+def metadata_router(s, d):
+    return route.metadata_routes(labelled(s, d), RULES).select("doc_id", "route")
+
+
+@query("""SELECT page_id, CASE WHEN lower(regexp_extract(url, '(\\.[^./?#]+)([?#].*)?$', 1)) IN ('.html', '.htm') THEN 'text/.*'
+  WHEN lower(regexp_extract(url, '(\\.[^./?#]+)([?#].*)?$', 1)) = '.pdf' THEN 'application/pdf' ELSE 'unclassified' END AS route FROM pages""")
+def filetype_router(s, d):
+    return route.file_type_route(t(s, d, "pages"), ["text/.*", "application/pdf"], "url").select("page_id", "route")
+
+
+@query("SELECT doc_id, CASE WHEN n_chars > 2000 THEN 'long' WHEN lang = 'en' THEN 'english' ELSE 'other' END AS route, CASE WHEN n_chars > 2000 THEN source WHEN lang = 'en' THEN lang ELSE 'x' END AS output FROM documents")
+def conditional_router(s, d):
+    return route.conditional_route(t(s, d, "documents"), [("n_chars > 2000", "source", "long"), ("lang = 'en'", "lang", "english"), ("true", "'x'", "other")]).select("doc_id", "route", "output")
+
+
+@query()
+def language_router(s, d):
+    return route.language_route(t(s, d, "documents"), ["en", "de", "fr"]).select("doc_id", "language")
+
+
+# ---- cache, store --------------------------------------------------------------------------------------------------------------
+
+
+def _items(s, d):
+    b = t(s, d, "benchmark").select(F.col("item_id"), F.col("text").alias("item"))
+    return b.unionByName(t(s, d, "documents").where("doc_id % 37 = 0").select(F.col("doc_id").alias("item_id"), F.col("text").alias("item")))
+
+
+ITEMS = "(SELECT item_id, text AS item FROM benchmark UNION ALL SELECT doc_id, text FROM documents WHERE doc_id % 37 = 0)"
+
+
+@query(f"SELECT d.doc_id, i.item_id FROM documents d JOIN {ITEMS} i ON d.text = i.item")
+def cache_checker_hits(s, d):
+    return retrieve.cache_check(t(s, d, "documents"), _items(s, d), "text", keep=["item_id"])[0].select("doc_id", "item_id")
+
+
+@query(f"SELECT item_id FROM {ITEMS} i WHERE NOT EXISTS (SELECT 1 FROM documents d WHERE d.text = i.item)")
+def cache_checker_misses(s, d):
+    return retrieve.cache_check(t(s, d, "documents"), _items(s, d), "text")[1].select("item_id")
+
+
+def _two(s, d):
+    docs = t(s, d, "documents").select(F.col("doc_id").alias("id"), "lang", "n_chars")
+    return docs.where("id % 3 <> 0"), docs.where("id % 2 = 0").withColumn("n_chars", -F.col("n_chars"))
+
+
+TWO = "WITH a AS (SELECT doc_id AS id, lang, n_chars FROM documents WHERE doc_id % 3 <> 0), b AS (SELECT doc_id AS id, lang, -n_chars AS n_chars FROM documents WHERE doc_id % 2 = 0) "
+
+
+@query(TWO + "SELECT * FROM a UNION ALL SELECT * FROM b WHERE id NOT IN (SELECT id FROM a)")
+def write_skip(s, d):
+    return store.upsert(*_two(s, d), "skip")
+
+
+@query(TWO + "SELECT * FROM a WHERE id NOT IN (SELECT id FROM b) UNION ALL SELECT * FROM b")
+def write_overwrite(s, d):
+    return store.upsert(*_two(s, d), "overwrite")
+
+
+@query("SELECT doc_id AS id, lang FROM documents WHERE doc_id % 5 <> 0")
+def delete_documents(s, d):
+    docs = t(s, d, "documents").select(F.col("doc_id").alias("id"), "lang")
+    return docs.join(docs.where("id % 5 = 0").select("id"), "id", "left_anti")
+
+
+@query("SELECT lang, CAST(count(*) AS BIGINT) AS n FROM documents GROUP BY lang")
+def count_documents(s, d):
+    return t(s, d, "documents").groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+
+
+# ---- BM25 ----------------------------------------------------------------------------------------------------------------------
+
+TOK = "regexp_extract_all(lower({}), '[\\p{{L}}\\p{{N}}_]{{2,}}')"
+
+
+@query(f"SELECT doc_id, token, CAST(count(*) AS BIGINT) AS tf FROM (SELECT doc_id, unnest({TOK.format('text')}) AS token FROM documents) GROUP BY ALL")
+def tokenize_tf(s, d):
+    return index(s, d).postings.select(F.col("id").alias("doc_id"), "token", "tf")
+
+
+@query(f"SELECT token, CAST(count(DISTINCT doc_id) AS BIGINT) AS df FROM (SELECT doc_id, unnest({TOK.format('text')}) AS token FROM documents) GROUP BY ALL")
+def doc_freq(s, d):
+    return index(s, d).frequencies()
+
+
+@query(f"SELECT CAST(count(*) AS BIGINT) AS n, round(sum(len({TOK.format('text')})) / (count(*) + 1), 6) AS avgdl FROM documents")
+def avg_doc_len(s, d):
+    return index(s, d).totals.select("n", r6(F.col("avgdl"), "avgdl"))
+
+
+def index(s, d) -> retrieve.Bm25Index:
+    return retrieve.Bm25Index(t(s, d, "documents"), "doc_id", "text")
+
+
+def texts(s, d) -> DataFrame:
+    """Queries: the first words of each benchmark item."""
+    return t(s, d, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(F.split("text", " "), 1, 6), " ").alias("query"))
+
+
+def _bm25_sql(variant: str, k: int, scaled: bool) -> str:
+    idf, gain, base = {
+        "bm25l": ("ln((n + 1) / (df + 0.5))", "2.5 * (tf / (0.25 + 0.75 * dl / avgdl) + 0.5) / (2.0 + tf / (0.25 + 0.75 * dl / avgdl))", "2.5 * 0.5 / 2.0"),
+        "plus": ("ln(1 + (n - df + 0.5) / (df + 0.5))", "tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl)) + 1.0", "1.0"),
+        "okapi": ("CASE WHEN ln((n - df + 0.5) / (df + 0.5)) < 0 THEN 0.25 * mean_idf ELSE ln((n - df + 0.5) / (df + 0.5)) END", "tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))", "0.0"),
+    }[variant]
+    score = "1 / (1 + exp(-score / 8))" if scaled else "score"
+    cut = "" if variant == "okapi" and not scaled else "WHERE score > 0"
+    return f"""WITH toks AS (SELECT doc_id, {TOK.format('text')} AS ts FROM documents),
+  e AS (SELECT doc_id, len(ts) AS dl, unnest(ts) AS token FROM toks), p AS (SELECT doc_id, token, count(*) AS tf, any_value(dl) AS dl FROM e GROUP BY ALL),
+  tot AS (SELECT CAST(count(*) AS DOUBLE) AS n, sum(len(ts)) / (count(*) + 1) AS avgdl FROM toks), f AS (SELECT token, count(*) AS df FROM p GROUP BY ALL),
+  m AS (SELECT avg(ln((n - df + 0.5) / (df + 0.5))) AS mean_idf FROM f, tot), i AS (SELECT token, {idf} AS idf FROM f, tot, m),
+  q AS (SELECT item_id AS query_id, list_distinct({TOK.format("array_to_string(list_slice(string_split(text, ' '), 1, 6), ' ')")}) AS ts FROM benchmark),
+  qt AS (SELECT query_id, unnest(ts) AS token FROM q), b AS (SELECT query_id, coalesce(sum(idf * {base}), 0) AS base FROM qt LEFT JOIN i USING (token) GROUP BY ALL),
+  h AS (SELECT query_id, doc_id, sum(idf * ({gain} - {base})) AS more FROM qt JOIN i USING (token) JOIN p USING (token), tot GROUP BY ALL),
+  sc AS (SELECT b.query_id, t.doc_id, base + coalesce(more, 0) AS score FROM b CROSS JOIN toks t LEFT JOIN h ON h.query_id = b.query_id AND h.doc_id = t.doc_id),
+  r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) - 1 AS rank FROM sc)
+  SELECT query_id, doc_id, CAST(rank AS BIGINT) AS rank, round({score}, 4) AS score FROM r {cut + (" AND" if cut else "WHERE")} rank < {k}"""
+
+
+def _bm25(name: str, variant: str, scaled: bool = False) -> None:
+    def run(s, d):
+        scored = retrieve.bm25_scores(index(s, d), texts(s, d), variant).withColumn("score", F.round("score", 9))
+        out = retrieve.top_k(scored, 10)
+        if not (variant == "okapi" and not scaled):
+            out = out.where("score > 0")
+        return out.select("query_id", F.col("id").alias("doc_id"), "rank", F.round(X.expit(F.col("score") / 8) if scaled else F.col("score"), 4).alias("score"))
+
+    QUERIES[name], ORACLES[name] = run, _bm25_sql(variant, 10, scaled)
+
+
+_bm25("bm25l_topk", "bm25l")
+_bm25("bm25okapi_topk", "okapi")
+_bm25("bm25plus_topk", "plus")
+_bm25("bm25_scaled", "bm25l", True)
+
+
+# ---- vectors -------------------------------------------------------------------------------------------------------------------
+
+
+def _vec(s, d):
+    e = t(s, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding", "label")
+    return e, e.where("id < 10").select(F.col("id").alias("query_id"), "embedding")
+
+
+def _vector(name: str, sim: str, scale: bool) -> None:
+    def run(s, d):
+        e, q = _vec(s, d)
+        return retrieve.vector_topk(e, q, 10, sim, scale).select("query_id", "id", "rank", r6(F.col("score"), "score"))
+
+    f = "list_cosine_similarity" if sim == "cosine" else "list_dot_product"
+    score = ("(score + 1) / 2" if sim == "cosine" else "1 / (1 + exp(-score / 100))") if scale else "score"
+    QUERIES[name] = run
+    ORACLES[name] = f"""WITH e AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+      s AS (SELECT q.id AS query_id, e.id, {f}(q.v, e.v) AS score FROM e JOIN e q ON q.id < 10),
+      r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) - 1 AS rank FROM s)
+      SELECT query_id, id, CAST(rank AS BIGINT) AS rank, round({score}, 6) AS score FROM r WHERE rank < 10"""
+
+
+_vector("vector_dot_topk", "dot", False)
+_vector("vector_cosine_topk", "cosine", False)
+_vector("vector_dot_scaled", "dot", True)
+_vector("vector_cosine_scaled", "cosine", True)
+
+
+# ---- joins of ranked lists -----------------------------------------------------------------------------------------------------
+
+
+def lists(s, d) -> DataFrame:
+    """Two lists for each language: by length and by id, with some scores missing or zero."""
+    docs = t(s, d, "documents").select(F.col("doc_id").alias("id"), "lang", "n_chars")
+    qid = F.array_position(F.array(*[F.lit(x) for x in ("de", "en", "es", "fr")]), F.col("lang")).alias("query_id")
+    a = docs.select(qid, "id", (F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n_chars"), "id")) - 1).cast("long").alias("rank"), F.when(F.col("id") % 11 != 0, F.col("n_chars") / 1000.0).alias("score")).where("rank < 60")
+    b = docs.where("id % 2 = 0").select(qid, "id", (F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("id"))) - 1).cast("long").alias("rank"), (F.col("id") % 17 / 4.0).alias("score")).where("rank < 60")
+    return fuse.as_lists(a, b)
+
+
+LISTS = """WITH q AS (SELECT doc_id AS id, n_chars, CAST(CASE lang WHEN 'de' THEN 1 WHEN 'en' THEN 2 WHEN 'es' THEN 3 WHEN 'fr' THEN 4 END AS BIGINT) AS query_id FROM documents),
+  a AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY n_chars DESC, id) - 1 AS rank, CASE WHEN id % 11 <> 0 THEN n_chars / 1000.0 END::DOUBLE AS score FROM q),
+  b AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY id DESC) - 1 AS rank, (id % 17 / 4.0)::DOUBLE AS score FROM q WHERE id % 2 = 0),
+  l AS (SELECT *, 0 AS list_idx FROM a WHERE rank < 60 UNION ALL SELECT *, 1 FROM b WHERE rank < 60) """
+BEST = "SELECT query_id, id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id, id ORDER BY nullif(score, 0) DESC NULLS LAST, list_idx, rank) AS n FROM {}) WHERE n = 1"
+
+
+def _fused(mode: str, weights=None):
+    return lambda s, d: fuse.join_documents(lists(s, d), 2, mode, weights).select("query_id", "id", r6(F.col("score"), "score"))
+
+
+def _add(name: str, f: Q, sql: str) -> None:
+    QUERIES[name], ORACLES[name] = f, sql
+
+
+_add("join_concatenate", _fused("concatenate"), LISTS + f"SELECT query_id, id, round(score, 6) AS score FROM ({BEST.format('l')})")
+_add("join_merge", _fused("merge", [0.7, 0.3]), LISTS + "SELECT query_id, id, round(sum(coalesce(score, 0) * CASE list_idx WHEN 0 THEN 0.7 ELSE 0.3 END::DOUBLE), 6) AS score FROM l GROUP BY ALL")
+_add("join_rrf", _fused("reciprocal_rank_fusion", [3, 1]), LISTS + "SELECT query_id, id, round(sum(61 * CASE list_idx WHEN 0 THEN 0.75 ELSE 0.25 END::DOUBLE / (61 + rank)), 6) AS score FROM l GROUP BY ALL")
+_add("join_dbsf", _fused("distribution_based_rank_fusion"), LISTS + """, w AS (SELECT *, avg(coalesce(score, 0)) OVER p AS mu, stddev_pop(coalesce(score, 0)) OVER p AS sd FROM l WINDOW p AS (PARTITION BY query_id, list_idx)),
+  z AS (SELECT query_id, list_idx, rank, id, CASE WHEN sd = 0 THEN 0 ELSE (coalesce(score, 0) - (mu - 3 * sd)) / (6 * sd) END AS score FROM w) """ + f"SELECT query_id, id, round(score, 6) AS score FROM ({BEST.format('z')})")
+
+
+@query(LISTS + "SELECT query_id, id, list_idx, r AS rank FROM (SELECT query_id, id, list_idx, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC NULLS LAST, list_idx, rank) - 1 AS BIGINT) AS r FROM l) WHERE r < 40")
+def answer_join(s, d):
+    return fuse.join_answers(lists(s, d), 40, True).select("query_id", "id", "list_idx", "rank")
+
+
+# ---- rankers -------------------------------------------------------------------------------------------------------------------
+
+
+def ranked(s, d) -> DataFrame:
+    docs = t(s, d, "documents").where("doc_id % 3 = 0").select(F.col("doc_id").alias("id"), "lang", "source", "n_chars", "text", (F.col("doc_id") % 7).alias("query_id"), F.when(F.col("doc_id") % 5 != 0, F.col("n_chars")).alias("rating"), (F.col("doc_id") % 10 / 10.0).alias("score"))
+    return docs.withColumn("rank", (F.row_number().over(Window.partitionBy("query_id").orderBy("id")) - 1).cast("long"))
+
+
+RANKED = "WITH k AS (SELECT doc_id AS id, lang, source, n_chars, text, doc_id % 7 AS query_id, CASE WHEN doc_id % 5 <> 0 THEN n_chars END AS rating, (doc_id % 10 / 10.0)::DOUBLE AS score, row_number() OVER (PARTITION BY doc_id % 7 ORDER BY doc_id) - 1 AS rank FROM documents WHERE doc_id % 3 = 0) "
+
+
+def _meta(name: str, mode: str, weight: float, missing: str) -> None:
+    def run(s, d):
+        return rank.meta_field(ranked(s, d), "rating", weight, mode, missing=missing).select("query_id", "id", r6(F.col("score"), "score"))
+
+    where = "WHERE rating IS NOT NULL" if missing == "drop" else ""
+    nulls = "FIRST" if missing == "top" else "LAST"
+    score = f"{1 - weight} / (61 + prev) + {weight} / (61 + met)" if mode[0] == "r" else f"{1 - weight} * CASE WHEN score BETWEEN 0 AND 1 THEN score ELSE 0 END + {weight} * (n - met) / n"
+    _add(name, run, RANKED + f""", w AS (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY rank) - 1 AS prev, row_number() OVER (PARTITION BY query_id ORDER BY rating DESC NULLS {nulls}, rank) - 1 AS met,
+      CAST(count(*) OVER (PARTITION BY query_id) AS DOUBLE) AS n FROM k {where}) SELECT query_id, id, round({score}, 6) AS score FROM w""")
+
+
+_meta("meta_rank_rrf", "reciprocal_rank_fusion", 0.4, "bottom")
+_meta("meta_rank_linear", "linear_score", 0.7, "drop")
+_meta("meta_rank_top", "linear_score", 1.0, "top")
+
+
+@query(RANKED + """, g AS (SELECT *, min(rank) OVER (PARTITION BY query_id, lang) AS g0, min(rank) OVER (PARTITION BY query_id, lang, source) AS s0 FROM k)
+  SELECT query_id, id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY g0, s0, n_chars, rank) - 1 AS BIGINT) AS rank FROM g""")
+def meta_group(s, d):
+    return rank.meta_grouping(ranked(s, d), "lang", "source", "n_chars").select("query_id", "id", "rank")
+
+
+@query(RANKED + """, w AS (SELECT query_id, id, rank, coalesce(sum(len(regexp_split_to_array(text, '\\s+'))) OVER (PARTITION BY query_id ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM k),
+  u AS (SELECT * FROM w WHERE b < 3000) SELECT query_id, id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rank % 2, CASE WHEN rank % 2 = 0 THEN rank ELSE -rank END) - 1 AS BIGINT) AS rank FROM u""")
+def lost_in_middle(s, d):
+    return rank.lost_in_the_middle(ranked(s, d), 3000, content="text").select("query_id", "id", "rank")
+
+
+@query(RANKED + """, e AS (SELECT *, exp(score - max(score) OVER (PARTITION BY query_id)) AS e FROM k),
+  w AS (SELECT query_id, id, sum(e) OVER (PARTITION BY query_id ORDER BY score DESC, rank ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) / sum(e) OVER (PARTITION BY query_id) AS cum, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, rank) AS rn FROM e)
+  SELECT query_id, id, CAST(rn - 1 AS BIGINT) AS rank FROM w WHERE cum <= 0.6 OR abs(cum - 0.6) <= 1e-6 + 1e-5 * 0.6 OR rn <= 2""")
+def top_p(s, d):
+    return rank.top_p(ranked(s, d), 0.6, 2).select("query_id", "id", "rank")
+
+
+def _diverse(strategy: str) -> Q:
+    def run(s, d):
+        e, q = _vec(s, d)
+        top = retrieve.vector_topk(e, q, 30, "cosine").join(e.select("id", "embedding"), "id").join(q.withColumnRenamed("embedding", "query_embedding"), "query_id")
+        return rank.diversity(top, strategy, 8).select("query_id", "id", "rank", r6(F.col("score"), "score"))
+
+    return run
+
+
+QUERIES["mmr"] = _diverse("maximum_margin_relevance")
+QUERIES["diversity"] = _diverse("greedy_diversity_order")
+
+
+@query(LISTS + "SELECT query_id, id, round(1.0 / (61 + rank), 6) AS score FROM l WHERE list_idx = 0 AND 1.0 / (61 + rank) >= 0.01")
+def similarity_ranker(s, d):
+    src = lists(s, d).where("list_idx = 0").select("query_id", "rank", "id", F.lit("").alias("query"), F.col("rank").alias("content"))
+    return rank.similarity_rank(src, lambda q, x: 1.0 / (61 + x), scale=False, threshold=0.01).select("query_id", "id", r6(F.col("score"), "score"))
+
+
+# ---- chunks --------------------------------------------------------------------------------------------------------------------
+
+
+def _chunks(name: str, by: str, n: int, overlap: int) -> None:
+    def run(s, d):
+        docs = t(s, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
+        out = X.split_documents(docs, by, n, overlap)
+        return out.select("source_id", F.col("split_id").cast("long").alias("split_id"), "content", F.col("split_idx_start").cast("long").alias("split_idx_start"))
+
+    delim, step = {"word": "' '", "line": "chr(10)", "period": "'.'"}[by], n - overlap
+    _add(name, run, f"""WITH u0 AS (SELECT doc_id, string_split(text, {delim}) AS p FROM documents WHERE length(text) > 0),
+      u AS (SELECT doc_id, list_transform(range(len(p)), lambda i: p[i + 1] || CASE WHEN i < len(p) - 1 THEN {delim} ELSE '' END) AS u FROM u0),
+      w AS (SELECT doc_id, u, unnest(range(1 + CAST(ceil(greatest(0, len(u) - {n}) / {step}) AS BIGINT))) AS i FROM u)
+      SELECT doc_id AS source_id, CAST(i AS BIGINT) AS split_id, array_to_string(list_slice(u, i * {step} + 1, i * {step} + {n}), '') AS content,
+      CAST(length(array_to_string(list_slice(u, 1, i * {step}), '')) AS BIGINT) AS split_idx_start FROM w""")
+
+
+_chunks("chunk_word", "word", 50, 0)
+_chunks("chunk_overlap", "word", 40, 10)
+_chunks("chunk_line", "line", 3, 1)
+_chunks("chunk_period", "period", 4, 0)
+
+
+@query()
+def chunk_page(s, d):
+    docs = t(s, d, "documents").select(F.col("doc_id").alias("id"), F.replace(F.col("text"), F.lit(".\n"), F.lit(".\f")).alias("content"))
+    return X.split_documents(docs, "page", 2, 0).select("source_id", "split_id", "page_number", "content")
+
+
+@query()
+def chunk_passage(s, d):
+    docs = t(s, d, "documents").select(F.col("doc_id").alias("id"), F.replace(F.col("text"), F.lit("\n"), F.lit("\n\n")).alias("content"))
+    return X.split_documents(docs, "passage", 2, 1).select("source_id", "split_id", "split_idx_start", "content")
+
+
+def _lines(s, d):
+    docs = t(s, d, "documents").where("doc_id % 4 = 0").select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
+    return X.split_documents(docs, "line", 1, 0)
+
+
+@query("""WITH u0 AS (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents WHERE doc_id % 4 = 0 AND length(text) > 0),
+  u AS (SELECT doc_id, list_transform(range(len(p)), lambda i: p[i + 1] || CASE WHEN i < len(p) - 1 THEN chr(10) ELSE '' END) AS u FROM u0),
+  w AS (SELECT doc_id, u, unnest(range(len(u))) AS i FROM u)
+  SELECT doc_id AS source_id, CAST(i AS BIGINT) AS split_id, array_to_string(list_slice(u, greatest(1, i), i + 2), '') AS context, CAST(least(len(u), i + 2) - greatest(1, i) + 1 AS BIGINT) AS n_chunks FROM w WHERE i % 5 = 0""")
+def sentence_window(s, d):
+    ch = _lines(s, d)
+    hits = ch.where("split_id % 5 = 0").select(F.lit(0).alias("query_id"), "source_id", "split_id")
+    return retrieve.sentence_window(hits, ch, 1).select("source_id", F.col("split_id").cast("long").alias("split_id"), "context", F.col("n_chunks").cast("long").alias("n_chunks"))
+
+
+@query("""WITH leaf AS (SELECT doc_id, doc_id // 4 AS p FROM documents), kids AS (SELECT p, count(*) AS n FROM leaf GROUP BY p), hits AS (SELECT * FROM leaf WHERE doc_id % 4 < 3 - p % 3),
+  h AS (SELECT p, count(*) AS hit FROM hits GROUP BY p), m AS (SELECT h.p FROM h JOIN kids USING (p) WHERE hit / n > 0.5)
+  SELECT DISTINCT CAST(0 AS BIGINT) AS query_id, CASE WHEN p IN (SELECT p FROM m) THEN 'p' || p ELSE 'd' || doc_id END AS id FROM hits""")
+def auto_merge(s, d):
+    docs = t(s, d, "documents").select("doc_id", F.floor(F.col("doc_id") / 4).alias("p"))
+    nodes = docs.select(F.concat(F.lit("d"), "doc_id").alias("id"), F.concat(F.lit("p"), "p").alias("parent_id"), F.lit(0).cast("long").alias("n_children"))
+    nodes = nodes.unionByName(docs.groupBy("p").agg(F.count(F.lit(1)).alias("n_children")).select(F.concat(F.lit("p"), "p").alias("id"), F.lit(None).cast("string").alias("parent_id"), "n_children"))
+    hits = docs.where(F.col("doc_id") % 4 < 3 - F.col("p") % 3).select(F.lit(0).cast("long").alias("query_id"), F.concat(F.lit("d"), "doc_id").alias("id"))
+    return retrieve.auto_merge(hits, nodes)
+
+
+# ---- cleaning ------------------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT doc_id, trim(regexp_replace(text, '\\s\\s+', ' ', 'g'), E' \\t\\n\\r') AS content FROM documents")
+def clean_whitespace(s, d):
+    return t(s, d, "documents").select("doc_id", X.squeeze_spaces(F.col("text")).alias("content"))
+
+
+@query("SELECT doc_id, array_to_string(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '\\S')), chr(10)) AS content FROM documents")
+def clean_lines(s, d):
+    return t(s, d, "documents").select("doc_id", X.drop_empty_lines(F.col("text")).alias("content"))
+
+
+@query("SELECT doc_id, trim(regexp_replace(replace(text, 'the', ''), '[#*$%&]+', '', 'g'), E' \\t\\n\\r') AS content FROM documents")
+def clean_regex(s, d):
+    return t(s, d, "documents").select("doc_id", X.clean(F.col("text"), spaces=False, empty_lines=False, substrings=["the"], regex="[#*$%&]+").alias("content"))
+
+
+@query("SELECT doc_id, translate(lower(regexp_replace(text, '(THE|and)', '', 'gi')), '!\"#$%&''()*+,-./:;<=>?@[\\]^_`{|}~0123456789', '') AS content FROM documents")
+def text_clean(s, d):
+    return t(s, d, "documents").select("doc_id", X.clean_answers(F.col("text"), ["THE", "and"], True, True, True).alias("content"))
+
+
+@query("SELECT doc_id, nfc_normalize(text) AS content FROM documents")
+def unicode_normalize(s, d):
+    return t(s, d, "documents").select("doc_id", X.normalize_unicode("NFC")(F.col("text")).alias("content"))
+
+
+# ---- metrics -------------------------------------------------------------------------------------------------------------------
+
+
+def _eval(s, d):
+    e, q = _vec(s, d)
+    got = retrieve.vector_topk(e, q, 20, "cosine").join(e.select("id", "label"), "id").select("query_id", "rank", "id", F.col("label").cast("string").alias("label"))
+    truth = q.join(e.select(F.col("id").alias("query_id"), F.col("label").alias("ql")), "query_id").join(e.select("id", "label"), F.col("ql") == F.col("label"))
+    truth = truth.select("query_id", F.lit(0).cast("long").alias("rank"), "id", F.col("id").cast("string").alias("content"), (F.col("id") % 3 + 1).cast("double").alias("score"))
+    return truth, got.select("query_id", "rank", "id", F.col("id").cast("string").alias("content"))
+
+
+EVAL = """WITH e AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v, label FROM embeddings), q AS (SELECT * FROM e WHERE id < 10),
+  s AS (SELECT q.id AS query_id, e.id, list_cosine_similarity(q.v, e.v) AS score FROM e, q), r0 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) - 1 AS rank FROM s),
+  r AS (SELECT query_id, id, rank FROM r0 WHERE rank < 20), tr AS (SELECT q.id AS query_id, e.id, e.id % 3 + 1 AS gain FROM q JOIN e ON q.label = e.label),
+  h AS (SELECT r.query_id, r.rank, r.id, CASE WHEN tr.id IS NULL THEN 0 ELSE 1 END AS hit, tr.gain FROM r LEFT JOIN tr ON tr.query_id = r.query_id AND tr.id = r.id),
+  c AS (SELECT *, sum(hit) OVER (PARTITION BY query_id ORDER BY rank) AS so_far FROM h) """
+
+
+def _metric(name: str, f, sql: str) -> None:
+    _add(name, lambda s, d: f(*_eval(s, d)).select("query_id", r6(F.col("score"), "score")), EVAL + sql)
+
+
+_metric("eval_map", evaluate.average_precision, "SELECT query_id, round(coalesce(sum(hit * so_far / (rank + 1)) / nullif(sum(hit), 0), 0), 6) AS score FROM c GROUP BY query_id")
+_metric("eval_mrr", evaluate.reciprocal_rank, "SELECT query_id, round(coalesce(max(CASE WHEN hit = 1 THEN 1.0::DOUBLE / (rank + 1) END), 0), 6) AS score FROM c GROUP BY query_id")
+_metric("eval_ndcg", evaluate.ndcg, ", ideal AS (SELECT query_id, sum(gain / log2(n + 1)) AS idcg FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY gain DESC) AS n FROM tr) GROUP BY query_id) SELECT query_id, round(coalesce(sum(coalesce(gain, 0) / log2(rank + 2)), 0) / any_value(idcg), 6) AS score FROM c JOIN ideal USING (query_id) GROUP BY query_id")
+_metric("eval_recall_single", lambda a, b: evaluate.recall(a, b), "SELECT query_id, max(hit)::DOUBLE AS score FROM c GROUP BY query_id")
+_metric("eval_recall_multi", lambda a, b: evaluate.recall(a, b, "multi_hit"), ", n AS (SELECT query_id, count(*) AS n FROM tr GROUP BY query_id) SELECT query_id, round(sum(hit)::DOUBLE / any_value(n), 6) AS score FROM c JOIN n USING (query_id) GROUP BY query_id")
+
+
+@query("SELECT a.doc_id AS query_id, (a.lang = b.lang)::INT::DOUBLE AS score FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1")
+def eval_exact_match(s, d):
+    docs = t(s, d, "documents").select("doc_id", "lang")
+    pairs = docs.join(docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("lang").alias("other")), "doc_id")
+    return evaluate.exact_match(pairs.withColumnRenamed("doc_id", "query_id"), "lang", "other")
+
+
+@query(EVAL + "SELECT 'recall' AS metrics, round(avg(x), 6) AS score FROM (SELECT max(hit)::DOUBLE AS x FROM c GROUP BY query_id) UNION ALL SELECT 'mrr', round(avg(x), 6) FROM (SELECT coalesce(max(CASE WHEN hit = 1 THEN 1.0::DOUBLE / (rank + 1) END), 0) AS x FROM c GROUP BY query_id)")
+def eval_report(s, d):
+    a, b = _eval(s, d)
+    return evaluate.aggregated_report({"recall": evaluate.recall(a, b), "mrr": evaluate.reciprocal_rank(a, b)}).select("metrics", r6(F.col("score"), "score"))
+
+
+@query(EVAL + "SELECT query_id, round(coalesce(max(CASE WHEN hit = 1 THEN 1.0::DOUBLE / (rank + 1) END), 0), 6) AS one_mrr, round(coalesce(max(CASE WHEN hit = 1 AND rank < 1 THEN 1.0::DOUBLE / (rank + 1) END), 0), 6) AS two_mrr FROM c GROUP BY query_id")
+def eval_compare(s, d):
+    a, b = _eval(s, d)
+    one = evaluate.detailed_report(a.select("query_id").distinct(), {"mrr": evaluate.reciprocal_rank(a, b)})
+    two = evaluate.detailed_report(a.select("query_id").distinct(), {"mrr": evaluate.reciprocal_rank(a, b.where("rank < 1"))})
+    return evaluate.compare_reports(one, two, ["one", "two"], ["mrr"]).select("query_id", r6(F.col("one_mrr"), "one_mrr"), r6(F.col("two_mrr"), "two_mrr"))
