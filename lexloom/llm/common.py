@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Sequence
@@ -28,6 +29,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/lexloom/{name}-{uuid.uuid4().hex}", 0
+        self.tables: list[str] = []
 
     def path(self, label: str) -> str:
         self.n += 1
@@ -38,6 +40,19 @@ class Scratch:
         df.write.parquet(path := self.path(label), compression="zstd")
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def bucketed(self, df: DataFrame, label: str, keys: Sequence[str]) -> DataFrame:
+        """Like keep, as a table bucketed by keys, so that joins on them don't move it."""
+        name, n = f"lexloom_{uuid.uuid4().hex}", int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        w = df.write.bucketBy(n, *keys).sortBy(*keys).option("path", self.path(label)).option("compression", "zstd")
+        w.saveAsTable(name)
+        self.tables.append(name)
+        return self.spark.table(name)
+
+    def release(self) -> None:
+        """Lets Spark delete the shuffle files of finished steps now: it does so as their plans are collected as garbage."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def drop(self, *frames: DataFrame) -> None:
         """Deletes tables that nothing reads any more."""
         jvm = self.spark._jvm

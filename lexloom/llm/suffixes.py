@@ -23,7 +23,8 @@ from lexloom.llm.bytesview import MASK, Rolling, mix, slices, sliding, view
 from lexloom.llm.common import Scratch, text_key
 
 CHUNK = 2_000_000
-STEP = 16
+#: Offsets that a bucket of each level of refinement spans.
+STEPS = (64, 16, 4, 1)
 
 
 def pack(texts: DataFrame, column: str, names: list[str]) -> DataFrame:
@@ -75,8 +76,8 @@ def dedup_substrings(docs: DataFrame, least: int = 200, q: int = 73, text: str =
     of fingerprints are aggregated before each shuffle, so a passage in a third of all documents is one row per task.
     """
     w = least - q + 1
-    if w < STEP or w % STEP:
-        raise ValueError(f"least - q + 1 must be a multiple of {STEP}")
+    if w < STEPS[0] or w % STEPS[0]:
+        raise ValueError(f"least - q + 1 must be a multiple of {STEPS[0]}")
     tmp = Scratch(docs.sparkSession, "suffixes")
     a, b = text_key(text)
     t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
@@ -104,19 +105,33 @@ def dedup_substrings(docs: DataFrame, least: int = 200, q: int = 73, text: str =
     src = long_.select(F.col("__t1").alias("t1"), F.col("__t2").alias("t2"), t.alias("t"))
     found = tmp.keep(src.mapInArrow(anchors, "t1 bigint, t2 bigint, pos int, c bigint, u bigint"), "anchors")
 
-    # Initial buckets: c, the q-gram; u, all bytes that strings through the anchor can hold.
-    sums = found.groupBy("c").agg(F.count(F.lit(1)).alias("n"), (F.min("u") != F.max("u")).alias("mixed")).where("n > 1").drop("n")
-    live = tmp.keep(found.join(sums, "c"), "live")
-    done = live.where("not mixed").select("t1", "t2", (F.col("pos") - (w - 1)).alias("lo"), (F.col("pos") + least).alias("hi"))
-    split = live.where("mixed")
-    kinds = split.groupBy("c", "u").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("t1", "t2", "pos")).alias("r"))
-    kinds = tmp.keep(kinds.select("c", "u", "n", "r.*"), "kinds")
-    same = split.join(kinds.where("n > 1").select("c", "u"), ["c", "u"])
-    done = tmp.keep(done.unionByName(same.select("t1", "t2", (F.col("pos") - (w - 1)).alias("lo"), (F.col("pos") + least).alias("hi"))).distinct(), "done")
-    tmp.drop(found, live)
+    def settle(rows: DataFrame, step: int, label: str) -> tuple[DataFrame, DataFrame]:
+        """One level of buckets. rows: a position with offsets k * step to k * step + step - 1, standing for n positions (2: or more),
+        c1 and c2, the bucket of the bytes that all strings at these offsets hold, and u, that of the bytes that any of them holds.
+
+        A bucket c of one position is finished: none of its strings is repeated. One of a single u is finished too: all are. In
+        any other, the positions of a repeated u are finished, and one position of each u goes on to the next level.
+        """
+        c = ["c1", "c2"]
+        sums = rows.groupBy(*c).agg(F.sum("n").alias("m"), (F.min("u") != F.max("u")).alias("mixed")).where("m > 1").drop("m")
+        live = tmp.keep(rows.join(sums, c), f"live{label}")
+        split = live.where("mixed")
+        kinds = split.groupBy(*c, "u").agg(F.sum("n").alias("n"), F.min(F.struct("t1", "t2", "pos", "k")).alias("r"))
+        kinds = tmp.keep(kinds.select(*c, "u", F.least("n", F.lit(2)).cast("int").alias("n"), "r.*"), f"kinds{label}")
+        same = split.join(kinds.where("n > 1").select(*c, "u"), [*c, "u"])
+        at = F.col("pos") - F.col("k") * step
+        span = ["t1", "t2", (at - (step - 1)).alias("lo"), (at + least).alias("hi")]
+        done = tmp.keep(live.where("not mixed").select(*span).unionByName(same.select(*span)).distinct(), f"done{label}")
+        tmp.drop(live)
+        tmp.release()
+        return done, kinds.select("t1", "t2", "pos", "k", "n")
+
+    first = found.select("t1", "t2", "pos", F.lit(0).alias("k"), F.lit(1).alias("n"), F.col("c").alias("c1"), F.lit(0).cast("long").alias("c2"), "u")
+    done, kinds = settle(first, w, "")
+    tmp.drop(found)
 
     # The bytes around one position of each kind, from one document of each text.
-    asked = kinds.groupBy("t1", "t2").agg(F.collect_list(F.struct("pos", F.least("n", F.lit(2)).cast("int").alias("n"))).alias("asks"))
+    asked = kinds.groupBy("t1", "t2").agg(F.collect_list("pos").alias("asks"))
     holder = keyed.groupBy(F.col("__t1").alias("t1"), F.col("__t2").alias("t2")).agg(F.min("__id").alias("__one"), F.count(F.lit(1)).alias("copies"))
     holder = tmp.keep(holder, "holders")
     packed = pack(long_, text, ["__t1", "__t2", "__id"])
@@ -125,76 +140,68 @@ def dedup_substrings(docs: DataFrame, least: int = 200, q: int = 73, text: str =
 
     def contexts(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for p in parts:
-            out: dict[str, list] = {k: [] for k in ("t1", "t2", "pos", "n", "left", "bytes")}
+            out: dict[str, list] = {k: [] for k in ("t1", "t2", "pos", "left", "bytes")}
             for t1, t2, z, size, asks in zip(*[c.to_pylist() for c in p.columns], strict=True):
                 raw = unpack(z, size)
-                for x in asks:
-                    lo = max(0, x["pos"] - (w - 1))
-                    for k, v in zip(out, (t1, t2, x["pos"], x["n"], x["pos"] - lo, raw[lo : x["pos"] + least]), strict=True):
+                for pos in asks:
+                    lo = max(0, pos - (w - 1))
+                    for k, v in zip(out, (t1, t2, pos, pos - lo, raw[lo : pos + least]), strict=True):
                         out[k].append(v)
-            yield pa.RecordBatch.from_pydict({k: pa.array(v, {"pos": pa.int32(), "n": pa.int32(), "left": pa.int32(), "bytes": pa.binary()}.get(k, pa.int64())) for k, v in out.items()})
+            yield pa.RecordBatch.from_pydict({k: pa.array(v, {"pos": pa.int32(), "left": pa.int32(), "bytes": pa.binary()}.get(k, pa.int64())) for k, v in out.items()})
 
-    ctx = met.select("t1", "t2", "z", "size", "asks").mapInArrow(contexts, "t1 bigint, t2 bigint, pos int, n int, left int, bytes binary")
-    ctx = tmp.keep(ctx.dropDuplicates(["t1", "t2", "pos"]), "contexts")
-    tmp.drop(kinds)
+    key = ["t1", "t2", "pos"]
+    ctx = met.select("t1", "t2", "z", "size", "asks").mapInArrow(contexts, "t1 bigint, t2 bigint, pos int, left int, bytes binary")
+    ctx = tmp.bucketed(ctx.dropDuplicates(key), "contexts", key)
+    tmp.release()
 
-    def refine(step: int, given: str | None):
-        """Buckets of offsets k * step to k * step + step - 1: c, bytes that all their strings hold; u, bytes that any holds."""
+    def refine(step: int, per: int):
+        """Rows of the next level: each offset range of the last, cut into `per` of `step` offsets."""
 
         def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            rolls = [Rolling(s) for s in (3, 4, 5, 6)]
+            rolls = [Rolling(s) for s in (3, 4, 5)]
             for p in parts:
-                for s in slices(p, "bytes", CHUNK):
-                    data, off = view(s.column(s.schema.get_field_index("bytes")))
-                    left = s.column(s.schema.get_field_index("left")).to_numpy().astype(np.int64)
-                    n = len(s)
-                    if given is None:
-                        row, k = np.repeat(np.arange(n), w // step), np.tile(np.arange(w // step), n)
-                    else:
-                        rows, parents = np.arange(n), s.column(s.schema.get_field_index(given)).to_numpy().astype(np.int64)
-                        per = STEP // step
-                        row, k = np.repeat(rows, per), np.repeat(parents * per, per) + np.tile(np.arange(per), n)
+                for s in slices(p, "bytes", CHUNK // 2):
+                    t1, t2, pos, left, k, n = (s.column(i).to_numpy() for i in (0, 1, 2, 3, 5, 6))
+                    data, off = view(s.column(4))
+                    row, k = np.repeat(np.arange(len(s)), per), np.repeat(k.astype(np.int64) * per, per) + np.tile(np.arange(per), len(s))
                     anchor, first, last = off[row] + left[row], off[row], off[row + 1]
                     c0, c1 = anchor - k * step, anchor - (k * step + step - 1) + least
-                    u0, u1 = anchor - (k * step + step - 1), anchor - k * step + least
-                    # Some string of these offsets must lie in the text; those over the edge of it have no partner as a whole.
+                    # A range of which no string lies in the text ends here.
                     ok = (c0 >= first) & (c1 <= last)
-                    row, k, c0, c1, u0, u1, first, last = (x[ok] for x in (row, k, c0, c1, u0, u1, first, last))
-                    edge = (u0 < first) | (u1 > last)
+                    row, k, c0, c1, first, last = (x[ok] for x in (row, k, c0, c1, first, last))
+                    u0, u1 = c0 - (step - 1), c1 + (step - 1)
                     for r in rolls:
                         r.feed(data)
                     tag = np.uint64(0x9E3779B97F4A7C15) * (k + 1).astype(np.uint64)
-                    ids = [mix(rolls[0](c0, c1) + tag), mix(rolls[1](c0, c1) ^ tag)]
-                    cols = [s.column(s.schema.get_field_index(x)).to_numpy()[row] for x in ("t1", "t2", "pos", "n")]
-                    own = mix(cols[0].view(np.uint64) ^ mix(cols[1].view(np.uint64) + cols[2].astype(np.uint64)) ^ tag)
-                    e0, e1 = np.maximum(u0, first), np.minimum(u1, last)
-                    ids += [np.where(edge, own, mix(rolls[2](e0, e1) + tag)), np.where(edge, ~own, mix(rolls[3](e0, e1) ^ tag))]
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*cols, k.astype(np.int32), *[i.view(np.int64) for i in ids])], names=["t1", "t2", "pos", "n", "k", "c1", "c2", "u1", "u2"])
+                    c_1, c_2 = mix(rolls[0](c0, c1) + tag), mix(rolls[1](c0, c1) ^ tag)
+                    # Ranges over the edge of a text have no equal but in copies of that text.
+                    own = mix(t1[row].view(np.uint64) ^ mix(t2[row].view(np.uint64) + pos[row].astype(np.uint64)) ^ tag)
+                    whole = np.where((u0 < first) | (u1 > last), own, mix(rolls[2](np.maximum(u0, first), np.minimum(u1, last)) + tag))
+                    cols = (t1[row], t2[row], pos[row], k.astype(np.int32), n[row], c_1.view(np.int64), c_2.view(np.int64), whole.view(np.int64))
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=["t1", "t2", "pos", "k", "n", "c1", "c2", "u"])
 
         return run
 
-    schema = "t1 bigint, t2 bigint, pos int, n int, k int, c1 bigint, c2 bigint, u1 bigint, u2 bigint"
-    rough = tmp.keep(ctx.mapInArrow(refine(STEP, None), schema), "rough")
-    kinds = rough.groupBy("c1", "c2", "u1", "u2").agg(F.sum("n").alias("n"), F.min(F.struct("t1", "t2", "pos", "k")).alias("r"))
-    kinds = tmp.keep(kinds.select("c1", "c2", "u1", "u2", "n", "r.*"), "kinds")
-    full = rough.join(kinds.where("n > 1").select("u1", "u2"), ["u1", "u2"])
-    full = full.select("t1", "t2", (F.col("pos") - F.col("k") * STEP - (STEP - 1)).alias("lo"), (F.col("pos") - F.col("k") * STEP + least).alias("hi"))
-    more = kinds.groupBy("c1", "c2").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("c1", "c2")
-    more = kinds.join(more, ["c1", "c2"]).select("t1", "t2", "pos", "k", F.least("n", F.lit(2)).cast("int").alias("n"))
-    fine = ctx.drop("n").join(more, ["t1", "t2", "pos"]).select("t1", "t2", "pos", "n", "left", "bytes", F.col("k").alias("parent"))
-    fine = tmp.keep(fine.mapInArrow(refine(1, "parent"), schema).drop("u1", "u2"), "fine")
-    twice = fine.groupBy("c1", "c2").agg(F.sum("n").alias("m")).where("m > 1").select("c1", "c2")
-    single = fine.join(twice, ["c1", "c2"]).select("t1", "t2", (F.col("pos") - F.col("k")).alias("lo"), (F.col("pos") - F.col("k") + least).alias("hi"))
-    spans = done.unionByName(full).unionByName(single).groupBy("t1", "t2").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
+    schema = "t1 bigint, t2 bigint, pos int, k int, n int, c1 bigint, c2 bigint, u bigint"
+    before = w
+    for step in STEPS:
+        cut = ctx.join(kinds, key).select(*key, "left", "bytes", "k", "n")
+        rows = tmp.keep(cut.mapInArrow(refine(step, before // step), schema), f"rows{step}")
+        more, kinds = settle(rows, step, str(step))
+        done = done.unionByName(more)
+        tmp.drop(rows)
+        before = step
+    spans = done.groupBy("t1", "t2").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
     known = tmp.keep(holder.where("copies > 1").select("t1", "t2", "copies").join(spans, ["t1", "t2"], "full").select(F.col("t1").alias("k1"), F.col("t2").alias("k2"), (F.coalesce("copies", F.lit(1)) > 1).alias("__again"), F.col("spans").alias("__spans")), "spans")
-    tmp.drop(rough, kinds, fine, ctx)
+    tmp.drop(ctx)
+    tmp.release()
 
     rest = [c for c in base.columns if c != text]
     z = pack(keyed, text, [*[f"`{c}`" for c in rest], "__t1", "__t2"])
     out = z.join(known, (F.col("__t1") == F.col("k1")) & (F.col("__t2") == F.col("k2")), "left").select(*[f"`{c}`" for c in rest], "z", "size", "__again", "__spans")
     ddl = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields if f.name != text] + ["n_bytes bigint", "n_removed bigint", "n_spans bigint", "kept_bytes binary"])
 
-    def cut(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def apply(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for p in parts:
             m = p.num_columns - 4
             res: list[tuple] = []
@@ -215,6 +222,6 @@ def dedup_substrings(docs: DataFrame, least: int = 200, q: int = 73, text: str =
             cols = [pa.array([r[i] for r in res], pa.int64() if i < 3 else pa.binary()) for i in range(4)]
             yield pa.RecordBatch.from_arrays([*p.columns[:m], *cols], names=[*p.schema.names[:m], "n_bytes", "n_removed", "n_spans", "kept_bytes"])
 
-    return out.mapInArrow(cut, ddl)
+    return out.mapInArrow(apply, ddl)
 
 
