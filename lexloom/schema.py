@@ -30,7 +30,7 @@ def document_id(content: Column, meta: Column | None = None) -> Column:
     """A document's id from its content and canonical JSON of its meta; null and empty content give the same id."""
     absent = F.lit("None")
     text = F.coalesce(F.nullif(content, F.lit("")), absent)
-    return F.sha2(F.concat(text, absent, absent, absent, F.coalesce(meta, F.lit("{}")), absent, F.lit("")), 256)
+    return F.sha2(F.concat(text, absent, absent, absent, (F.lit("{}") if meta is None else F.coalesce(meta, F.lit("{}"))), absent, F.lit("")), 256)
 
 
 def flatten(meta_fields: list[str], meta: str = "meta") -> list[Column]:
