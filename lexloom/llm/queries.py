@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexloom.llm import oracles
 from lexloom.llm.common import Scratch, read_table, text_key
 
 URL_RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
@@ -105,4 +106,4 @@ QUERIES = {
     "op6_mixing": op6_mixing, "op7_quality": op7_quality, "op8_embeddings": op8_embeddings, "op9_suffixes": op9_suffixes,
     "op10_lines": op10_lines, "pipeline": pipeline,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op4_urls": oracles.urls(URL_RULES, LISTED), "op7_quality": oracles.quality(), "op8_embeddings": oracles.LINKS, "op10_lines": oracles.LINES}
