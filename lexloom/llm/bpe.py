@@ -76,7 +76,7 @@ def slots(merges: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 class Encoder:
     """Encodes words by segment trees; a bounded table remembers the ids of words seen before."""
 
-    def __init__(self, model: dict, remember: int = 400_000):
+    def __init__(self, model: dict, remember: int = 250_000):
         import regex
 
         self.bytes = np.array(model["bytes"], np.int64)
@@ -240,25 +240,31 @@ class Encoder:
 
 
 def encode_documents(docs: DataFrame, path: str, text: str = "text", ids: bool = True, decoded: bool = False) -> DataFrame:
-    """Adds bpe_ids (array of long; only with ids), bpe_text (only with decoded), n_tokens, ids_sha256 and decoded_sha256.
+    """Adds bpe_ids (array of int; only with ids), bpe_text (only with decoded), n_tokens, ids_sha256 and decoded_sha256.
 
     Null text counts as empty: no tokens, the hash of nothing. Whole texts are encoded, of any length; repeated rows give
     repeated results; other columns pass through, except that columns of the added names are replaced.
     """
     added = [("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]
-    added += [("bpe_ids", pa.list_(pa.int64()))] * ids + [("bpe_text", pa.string())] * decoded
+    added += [("bpe_ids", pa.list_(pa.int32()))] * ids + [("bpe_text", pa.string())] * decoded
     names = [n for n, _ in added]
     rest = [c for c in docs.columns if c not in names and c != text]
-    ddl = {"n_tokens": "bigint", "ids_sha256": "string", "decoded_sha256": "string", "bpe_ids": "array<bigint>", "bpe_text": "string"}
+    ddl = {"n_tokens": "bigint", "ids_sha256": "string", "decoded_sha256": "string", "bpe_ids": "array<int>", "bpe_text": "string"}
     model = docs.sparkSession.sparkContext.broadcast(load_model(path))
     src = docs.select(*[F.col(f"`{c}`") for c in rest], F.col(f"`{text}`")) if text not in names else docs
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields] + [f"{n} {ddl[n]}" for n in names])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gc.disable()  # millions of small strings and no cycles
+        try:
+            yield from encoded(batches)
+        finally:
+            gc.enable()  # the process serves other tasks
+
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = Encoder(model.value)
         for whole in batches:
-            for batch in slices(whole, text, 4_000_000):
+            for batch in slices(whole, text, 1_500_000):
                 codes = enc.encode([t or "" for t in batch.column(batch.schema.get_field_index(text)).to_pylist()])
                 back = [enc.decode(c) for c in codes]
                 cols = {
@@ -268,7 +274,7 @@ def encode_documents(docs: DataFrame, path: str, text: str = "text", ids: bool =
                 }
                 if ids:
                     ends = np.cumsum([0] + [len(c) // 4 for c in codes])
-                    cols["bpe_ids"] = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(codes), "<u4").astype(np.int64)))
+                    cols["bpe_ids"] = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(codes), "<u4").astype(np.int32)))
                 if decoded:
                     cols["bpe_text"] = pa.array(back, pa.string())
                 yield pa.RecordBatch.from_arrays([*batch.columns, *[cols[n] for n in names]], names=[*batch.schema.names, *names])
