@@ -104,7 +104,8 @@ def shard(docs: DataFrame, link: Sequence[str], order: Sequence[str], shards: in
     free = with_rank(rows.where("__shard is null"), [], F.col("__h"), [F.col("__h"), *ordered], "__i", buckets)
     free = free.withColumn("__shard", _pick("__i", ends or [(0, 0)]).cast("int")).drop("__i")
     both = tmp.keep(rows.where("__shard is not null").unionByName(free), "both")
-    out = with_rank(both, ["__shard"], F.col("__h"), [F.col("__h"), *ordered], "__slot", buckets)
+    # Free places were dealt in the order of __h, so another hash spreads the rows of a shard over buckets.
+    out = with_rank(both, ["__shard"], F.xxhash64(F.lit(8), "__h"), [F.col("__h"), *ordered], "__slot", buckets)
     return out.select(*[F.col(f"`{c}`") for c in names], F.col("__shard").alias("shard"), F.col("__slot").alias("slot"))
 
 
