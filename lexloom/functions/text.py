@@ -8,6 +8,7 @@ from collections.abc import Iterator, Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 TOKEN = r"[\p{L}\p{N}_]{2,}"
 DELIMITERS = {"page": "\f", "passage": "\n\n", "period": ".", "word": " ", "line": "\n"}
@@ -77,7 +78,7 @@ def common_edge(pages: list[str], head: bool, chars: int = 300, least: int = 3,
     return max(sorted(shared), key=len, default="").strip()
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def drop_repeated_edges(texts: pd.Series) -> pd.Series:
     """Headers and footers that inner pages share are cut from every page."""
 

@@ -16,6 +16,7 @@ from collections.abc import Callable, Iterator, Sequence
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lexloom.errors import ModelUnavailable
 from lexloom.functions.text import excel_column
@@ -100,7 +101,7 @@ def html_text(source: str) -> tuple[str, str]:
     return "\n".join(x for x in lines if x), p.title.strip()
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def html_to_text(s: pd.Series) -> pd.Series:
     return s.map(lambda x: html_text(x)[0], na_action="ignore")
 
