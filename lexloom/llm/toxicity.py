@@ -138,7 +138,8 @@ def train(docs: DataFrame, labels: DataFrame, scratch: Scratch, settings: Settin
     gain = 2 * (part(k, (k + m) * (n1 / all_)) + part(m, (k + m) * (n0 / all_)) + part(n1 - k, (all_ - k - m) * (n1 / all_)) + part(n0 - m, (all_ - k - m) * (n0 / all_)))
     best = sums.withColumn("gain", gain).where(F.col("gain") >= settings.least_gain).orderBy(F.desc("gain"), "f").limit(settings.max_features)
     terms = {t for g in settings.identities for t in g}
-    vocab = sorted({r["f"] for r in best.collect()} | terms | {t[:c] + "*" for t in terms for c in (4, 5, 6) if len(t) > c})
+    # Identity terms are features in any case, so that what the labels say about them is seen and penalised.
+    vocab = sorted({r["f"] for r in best.collect()} | terms)
     place, groups = {f: i for i, f in enumerate(vocab)}, settings.identities
 
     def project(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
