@@ -40,14 +40,14 @@ def hierarchical_split(s, d):
 
 @query()
 def hierarchy_merge(s, d):
-    nodes = chunk.hierarchical(_docs(s, d), [100, 25]).select("id", "parent_id", "n_children")
-    hits = nodes.where("n_children = 0").where(F.crc32(F.col("id").cast("binary")) % 3 > 0).select(F.lit(0).cast("long").alias("query_id"), "id")
-    return retrieve.auto_merge(hits, nodes)
+    nodes = chunk.hierarchical(_docs(s, d), [100, 25]).select("id", "parent_id", "n_children", "content")
+    hits = nodes.where("n_children = 0 and content rlike '[aeiou] '").select(F.lit(0).cast("long").alias("query_id"), "id")
+    return retrieve.auto_merge(hits, nodes.drop("content"))
 
 
 @query()
 def csv_split(s, d):
-    rows = F.concat(F.lit("a,b,,,c\n"), F.translate(F.substring("content", 1, 60), ",\n\"", "   "), F.lit(",2,,,3\n,,,,\n,,,,\nx,y,,,z\n"))
+    rows = F.concat(F.lit("a,b,,,c\n"), F.translate("content", ",\n\"", "   "), F.lit(",2,,,3\n,,,,\n,,,,\nx,y,,,z\n"))
     return chunk.explode_chunks(_docs(s, d).withColumn("content", rows), lambda x: [c for _, _, c in chunk.split_csv(x)])
 
 
@@ -73,11 +73,13 @@ def embed_hashing(s, d):
 
 @query()
 def extractive_reader(s, d):
-    q = t(s, d, "benchmark").where("item_id < 5").select(F.col("item_id").alias("query_id"), F.element_at(F.split("text", " "), 2).alias("query"))
-    pairs = _docs(s, d).join(q, F.expr("contains(content, query)"))
+    """The best documents of each item's second word, read for that word."""
+    q = t(s, d, "benchmark").select(F.col("item_id").alias("query_id"), F.element_at(F.split("text", " "), 2).alias("query"))
+    best = retrieve.bm25_topk(retrieve.Bm25Index(_docs(s, d)), q, 10).select("query_id", "id")
+    pairs = best.join(q, "query_id").join(_docs(s, d), "id")
 
     def factory():
-        return lambda qs: [[(c.find(w), c.find(w) + len(w), 0.5 + 1 / (3 + c.find(w)))] for w, c in qs]
+        return lambda qs: [[(c.find(w), c.find(w) + len(w), 0.5 + 1 / (3 + c.find(w)))] if w in c else [] for w, c in qs]
 
     return models.read_answers(pairs, factory, 5)
 
@@ -105,8 +107,8 @@ def json_validator(s, d):
 @query()
 def term_count_deltas(s, d):
     docs = _docs(s, d)
-    old = streams.term_counts(docs.where("id % 2 = 0"))
-    return streams.merge_statistics(streams.merge_statistics(old, docs.where("id % 2 = 1")), docs.where("id % 5 = 0"), sign=-1)
+    marked = docs.join(t(s, d, "labels").where("toxic = 1").select(F.col("doc_id").alias("id")), "id", "left_semi")
+    return streams.merge_statistics(streams.merge_statistics(streams.term_counts(marked), docs), marked, sign=-1)
 
 
 # ---- prompts, answers, messages --------------------------------------------------------------------------------------------------
@@ -129,9 +131,9 @@ def prompt_loop(s, d):
     return build.prompt_rows(c, "{% for m in ms %}{{ m.role }}: {{ m.text }};{% endfor %}").select("conv_id", "prompt")
 
 
-@query("SELECT doc_id, regexp_extract(text, '^(\\S+)', 1) AS answer, CAST([doc_id % 7 + 1] AS BIGINT[])[1] AS first FROM documents WHERE doc_id % 7 < 3")
+@query("SELECT doc_id, regexp_extract(text, '^(\\S+)', 1) AS answer, CASE WHEN doc_id % 7 < 3 THEN CAST(doc_id % 7 + 1 AS BIGINT) END AS first FROM documents")
 def answer_builder(s, d):
-    docs = t(s, d, "documents").where("doc_id % 7 < 3").select("doc_id", F.concat_ws(" ", F.element_at(F.split("text", r"\s"), 1), F.concat(F.lit("["), (F.col("doc_id") % 7 + 1).cast("string"), F.lit("] [9]"))).alias("reply"), F.array(*[F.lit(i).cast("long") for i in (1, 2, 3)]).alias("docs"))
+    docs = t(s, d, "documents").select("doc_id", F.concat_ws(" ", F.element_at(F.split("text", r"\s"), 1), F.concat(F.lit("["), (F.col("doc_id") % 7 + 1).cast("string"), F.lit("] [9]"))).alias("reply"), F.array(*[F.lit(i).cast("long") for i in (1, 2, 3)]).alias("docs"))
     out = build.answers(docs, documents="docs", pattern=r"^(\S+)", reference_pattern=r"\[(\d+)\]")
     return out.select("doc_id", "answer", F.get("references", F.lit(0)).alias("first"))
 
