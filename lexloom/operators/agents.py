@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import dataclasses
 import inspect
 import json
+import types
 import typing
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
@@ -67,6 +69,31 @@ def tool(f: Callable | None = None, **kw: Any):
     return tool_from_function(f, **kw) if f is not None else lambda g: tool_from_function(g, **kw)
 
 
+def tool_from_component(part: Any, name: str, description: str = "") -> Tool:
+    """A tool that runs a graph's component; its parameters are the component's inputs with their types and docstring."""
+    from lexloom.plans.pipeline import as_component
+
+    c = as_component(part)
+    props = {p: json_type(k) for p, (k, _) in c.inputs.items()}
+    need = [p for p, (_, required) in c.inputs.items() if required]
+    text = description or inspect.getdoc(c.function) or ""
+    return Tool(name, text, {"type": "object", "properties": props, **({"required": need} if need else {})}, lambda **kw: c(**kw))
+
+
+def json_type(kind: Any) -> dict:
+    """The JSON schema of a type: plain types, lists and dictionaries by their arguments, dataclasses by their fields, unions by their first member."""
+    args = [a for a in typing.get_args(kind) if a is not type(None)]
+    base = typing.get_origin(kind) or kind
+    if base in (typing.Union, types.UnionType):
+        return json_type(args[0])
+    if base is list:
+        return {"type": "array", **({"items": json_type(args[0])} if args else {})}
+    if dataclasses.is_dataclass(base):
+        hints = typing.get_type_hints(base)
+        return {"type": "object", "properties": {f.name: json_type(hints[f.name]) for f in dataclasses.fields(base)}}
+    return {"type": JSON_TYPES.get(base, "string")}
+
+
 class Toolset:
     """Tools with names of their own."""
 

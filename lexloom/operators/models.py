@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from lexloom.errors import ModelUnavailable
 from lexloom.operators.build import embedding_text
+from lexloom.secrets import Secret, value_of
 
 
 class ChatModel(Protocol):
@@ -85,7 +86,32 @@ def sentence_transformer(model: str = "sentence-transformers/all-mpnet-base-v2",
     return package_model("sentence_transformers", make)
 
 
-def service_embedder(url: str, api_key: str, model: str, transport=None, batch: int = 32, dimensions: int | None = None) -> Factory:
+def transformers_task(task: str, model: str, **kw: Any) -> Factory:
+    """A local model by its task, such as text-generation, text-classification, zero-shot-classification or question-answering."""
+
+    def make(tr):
+        m = tr.pipeline(task, model=model, **kw)
+        return lambda batch: list(m(batch))
+
+    return package_model("transformers", make)
+
+
+def until(model: str | Factory, stop_words: Sequence[str]) -> Factory:
+    """A generator whose replies end before the first stop word."""
+
+    def factory():
+        f = load(model)
+
+        def cut(t: str | None) -> str | None:
+            at = [i for w in stop_words if t and (i := t.find(w)) >= 0]
+            return t[: min(at)].rstrip() if at else t
+
+        return lambda batch: [cut(t) for t in f(batch)]
+
+    return factory
+
+
+def service_embedder(url: str, api_key: str | Secret, model: str, transport=None, batch: int = 32, dimensions: int | None = None) -> Factory:
     """An embedding service of the common wire format (also with a deployment's url and key)."""
 
     def factory():
@@ -95,7 +121,7 @@ def service_embedder(url: str, api_key: str, model: str, transport=None, batch:
             out: list = []
             for i in range(0, len(texts), batch):
                 body = {"model": model, "input": texts[i : i + batch]} | ({"dimensions": dimensions} if dimensions else {})
-                status, _, data = request(transport or http, url, "POST", {"Authorization": f"Bearer {api_key}", "api-key": api_key, "Content-Type": "application/json"}, json.dumps(body).encode())
+                status, _, data = request(transport or http, url, "POST", {"Authorization": f"Bearer {value_of(api_key)}", "api-key": value_of(api_key), "Content-Type": "application/json"}, json.dumps(body).encode())
                 if status >= 400:
                     out += [None] * len(body["input"])  # a failed batch keeps its places
                     continue
@@ -108,7 +134,7 @@ def service_embedder(url: str, api_key: str, model: str, transport=None, batch:
     return factory
 
 
-def chat_service(url: str, api_key: str, model: str, transport=None, on_chunk: Callable[[str], None] | None = None, **options: Any) -> Factory:
+def chat_service(url: str, api_key: str | Secret, model: str, transport=None, on_chunk: Callable[[str], None] | None = None, **options: Any) -> Factory:
     """A chat service of the common wire format. Batches are lists of message lists."""
 
     def factory():
@@ -116,7 +142,7 @@ def chat_service(url: str, api_key: str, model: str, transport=None, on_chunk: C
 
         def one(messages: list[dict], tools: list[dict] | None = None):
             body = {"model": model, "messages": messages, **options} | ({"tools": [{"type": "function", "function": t} for t in tools]} if tools else {})
-            status, _, data = request(transport or http, url, "POST", {"Authorization": f"Bearer {api_key}", "api-key": api_key, "Content-Type": "application/json"}, json.dumps(body).encode())
+            status, _, data = request(transport or http, url, "POST", {"Authorization": f"Bearer {value_of(api_key)}", "api-key": value_of(api_key), "Content-Type": "application/json"}, json.dumps(body).encode())
             if status >= 400:
                 raise OSError(f"the chat service answers {status}")
             m = json.loads(data)["choices"][0]["message"]

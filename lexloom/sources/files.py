@@ -326,11 +326,22 @@ def _whisper(module, data: bytes) -> list[tuple[str, dict]]:
     return [(got.pop("text"), {k: v for k, v in got.items() if isinstance(v, (str, int, float))})]
 
 
+def _msg(oxmsg, data: bytes) -> list[tuple[str, dict]]:
+    """An Outlook message as head and body; attachments as further rows. An encrypted one is an error."""
+    m = oxmsg.Message.load(io.BytesIO(data))
+    if "encrypted" in str(m.message_headers.get("Content-Type", "")):
+        raise ValueError("the message is encrypted")
+    to = ", ".join(f"{r.name} <{r.email_address}>" for r in m.recipients)
+    head = "\n".join(f"{k}: {v}" for k, v in (("From", m.sender), ("To", to), ("Cc", m.message_headers.get("CC")), ("Bcc", m.message_headers.get("BCC")), ("Subject", m.subject)) if v)
+    out = [(f"{head}\n\n{m.body or ''}".strip(), {"kind": "message"})]
+    return out + [(a.file_bytes.hex(), {"kind": "attachment", "name": a.file_name}) for a in m.attachments]
+
+
 READERS = {
     "txt": lambda data, _: [(data.decode("utf-8"), {})], "csv": lambda data, _: [(data.decode("utf-8"), {})],
     "html": lambda data, _: [(lambda t: (t[0], {"title": t[1]}))(html_text(data.decode("utf-8", "replace")))], "md": lambda data, _: [(markdown_text(data.decode("utf-8")), {})],
     "docx": docx_reader(), "pptx": pptx_reader, "xlsx": xlsx_reader(), "eml": eml_reader,
-    "pdf": optional_reader("pypdf", _pdf), "pdfminer": optional_reader("pdfminer", _pdfminer), "audio": optional_reader("whisper", _whisper),
+    "pdf": optional_reader("pypdf", _pdf), "pdfminer": optional_reader("pdfminer", _pdfminer), "audio": optional_reader("whisper", _whisper), "msg": optional_reader("oxmsg", _msg),
 }
 
 

@@ -3,18 +3,23 @@
 from __future__ import annotations
 
 import fnmatch
+import html.parser
 import json
 import random
+import re
 import time
 import urllib.error
 import urllib.parse
 import urllib.request
+import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexloom.secrets import Secret, value_of
+
 #: (url, method, headers, body, timeout) -> (status, content type, body)
 Transport = Callable[[str, str, dict, bytes | None, float], tuple[int, str, bytes]]
 AGENTS = ("Mozilla/5.0 (compatible; lexloom)", "Mozilla/5.0 (X11; Linux x86_64; lexloom)")
@@ -95,7 +100,7 @@ def search_results(kind: str, answer: dict, top_k: int | None = 10) -> list[tupl
 ENDPOINTS = {"serper": ("https://google.serper.dev/search", "POST"), "searchapi": ("https://www.searchapi.io/api/v1/search", "GET")}
 
 
-def web_search(queries: DataFrame, kind: str, api_key: str, query: str = "query", top_k: int | None = 10, allowed_domains: Sequence[str] = (), transport: Transport = http) -> DataFrame:
+def web_search(queries: DataFrame, kind: str, api_key: str | Secret, query: str = "query", top_k: int | None = 10, allowed_domains: Sequence[str] = (), transport: Transport = http) -> DataFrame:
     """query_id, rank, title, content, link of each query's results. Domains become site: terms."""
     address, method = ENDPOINTS[kind]
 
@@ -105,9 +110,9 @@ def web_search(queries: DataFrame, kind: str, api_key: str, query: str = "query"
             for qid, text in zip(p["query_id"], p[query], strict=True):
                 text = (" OR ".join(f"site:{d}" for d in allowed_domains) + " " if allowed_domains else "") + text
                 if method == "POST":
-                    got = request(transport, address, "POST", {"X-API-KEY": api_key, "Content-Type": "application/json"}, json.dumps({"q": text, "num": top_k}).encode())
+                    got = request(transport, address, "POST", {"X-API-KEY": value_of(api_key), "Content-Type": "application/json"}, json.dumps({"q": text, "num": top_k}).encode())
                 else:
-                    got = request(transport, f"{address}?{urllib.parse.urlencode({'q': text, 'engine': 'google'})}", "GET", {"Authorization": f"Bearer {api_key}"})
+                    got = request(transport, f"{address}?{urllib.parse.urlencode({'q': text, 'engine': 'google'})}", "GET", {"Authorization": f"Bearer {value_of(api_key)}"})
                 if got[0] >= 400:
                     raise OSError(f"the search service answers {got[0]}")
                 rows += [(qid, i, *r) for i, r in enumerate(search_results(kind, json.loads(got[2]), top_k))]
@@ -165,3 +170,59 @@ def tool_calls(messages: DataFrame, column: str = "messages") -> DataFrame:
     last = F.element_at(F.filter(column, lambda m: m["role"] == "assistant"), -1)
     parts = F.filter(last["content"], lambda c: c["kind"] == "tool_call")
     return messages.select("*", F.explode(parts).alias("__c")).select(*messages.columns, F.col("__c.tool_call.tool_name").alias("operation_id"), F.col("__c.tool_call.arguments").alias("arguments"), F.col("__c.tool_call.id").alias("call_id"))
+
+
+def transcriber(url: str, api_key: str | Secret, model: str = "whisper-1", transport: Transport = http, **options: str) -> Callable[[bytes, str], list[tuple[str, dict]]]:
+    """A reader of audio files (see files.convert) over a transcription service: the text, with the file's name as meta."""
+
+    def run(data: bytes, path: str) -> list[tuple[str, dict]]:
+        name, edge = path.rpartition("/")[2] or "audio.wav", uuid.uuid4().hex
+        head = "".join(f'--{edge}\r\nContent-Disposition: form-data; name="{k}"\r\n\r\n{v}\r\n' for k, v in {"model": model, "response_format": "json", **options}.items())
+        head += f'--{edge}\r\nContent-Disposition: form-data; name="file"; filename="{name}"\r\nContent-Type: application/octet-stream\r\n\r\n'
+        body = head.encode() + data + f"\r\n--{edge}--\r\n".encode()
+        status, _, got = request(transport, url, "POST", {"Authorization": f"Bearer {value_of(api_key)}", "Content-Type": f"multipart/form-data; boundary={edge}"}, body, timeout=60.0)
+        if status >= 400:
+            raise OSError(f"the transcription service answers {status}")
+        return [(json.loads(got)["text"], {"audio_file": name})]
+
+    return run
+
+
+def text_service(url: str = "http://localhost:9998/tika", transport: Transport = http) -> Callable[[bytes, str], list[tuple[str, dict]]]:
+    """A reader of any file over a text extraction server that answers in XHTML with a div of class page for each page.
+
+    Pages are joined by form feeds, words broken at line ends are joined.
+    """
+
+    def run(data: bytes, _: str) -> list[tuple[str, dict]]:
+        status, _, got = request(transport, url, "PUT", {"Accept": "text/html"}, data, timeout=60.0)
+        if status >= 400:
+            raise OSError(f"the text extraction server answers {status}")
+        p = _Pages()
+        p.feed(got.decode("utf-8", "replace"))
+        p.close()
+        pages = [x.strip() for x in ("".join(page) for page in p.pages)] if p.pages else ["".join(p.rest).strip()]
+        return [("\f".join(re.sub(r"-\n(?=\w)", "", x) for x in pages), {})]
+
+    return run
+
+
+class _Pages(html.parser.HTMLParser):
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.pages: list[list[str]] = []
+        self.rest: list[str] = []
+        self.depth = 0
+
+    def handle_starttag(self, tag, attrs):
+        if self.depth:
+            self.depth += tag == "div"
+        elif tag == "div" and ("class", "page") in attrs:
+            self.pages.append([])
+            self.depth = 1
+
+    def handle_endtag(self, tag):
+        self.depth -= bool(self.depth) and tag == "div"
+
+    def handle_data(self, data):
+        (self.pages[-1] if self.depth else self.rest).append(data)

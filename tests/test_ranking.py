@@ -191,3 +191,40 @@ def test_routes(spark):
         route.conditional_route(df, [("id > 5", "'x'", "n")]).collect()
     z = route.zero_shot(df, lambda _: F.array(F.lit(0.1), F.lit(2.0)), ["u", "v"], "path")
     assert z.first().classification.label == "v"
+
+
+@pytest.mark.parametrize("variant", ["bm25l", "plus", "okapi"])
+def test_best_are_those_of_all_pairs(spark, variant):
+    import random
+
+    rng = random.Random(5)
+    rows = [(i, " ".join(rng.choice("ab cd ef gh ij kl mn op qr st".split()) for _ in range(rng.randrange(12))) if i % 9 else None) for i in range(120)]
+    index = retrieve.Bm25Index(spark.createDataFrame(rows, "id long, content string"))
+    qs = spark.createDataFrame([(0, "ab cd"), (1, "nowhere"), (2, "kl zz"), (3, "")], "query_id long, query string")
+    for where in (None, {"field": "id", "operator": "<", "value": 7}):
+        want = retrieve.top_k(retrieve.bm25_scores(index, qs, variant, where).withColumn("score", F.round("score", 9)), 6)
+        want = want if variant == "okapi" else want.where("score > 0")
+        key = lambda df: sorted((r.query_id, r["rank"], r.id, r.score) for r in df.collect())
+        assert key(retrieve.bm25_topk(index, qs, 6, variant, where=where)) == key(want)
+
+
+def test_saved_index(spark, tmp_path):
+    docs = spark.createDataFrame([("1", "one two"), ("2", "two three three")], "id string, content string")
+    index = retrieve.Bm25Index(docs)
+    index.save(f"{tmp_path}/i")
+    q = spark.createDataFrame([(0, "three two")], "query_id long, query string")
+    assert retrieve.bm25_topk(retrieve.Bm25Index.load(docs, f"{tmp_path}/i"), q).collect() == retrieve.bm25_topk(index, q).collect()
+
+
+def test_vector_blocks(spark, monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    v = rng.integers(-2, 3, (60, 3)).astype(float)
+    docs = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, embedding array<double>")
+    monkeypatch.setattr(retrieve, "QUERY_BLOCK", 4)
+    monkeypatch.setattr(retrieve, "PRODUCTS", 80)
+    got = retrieve.vector_topk(docs, docs.select(F.col("id").alias("query_id"), "embedding").where("id < 11"), 5).collect()
+    for q in range(11):
+        want = sorted(range(60), key=lambda i: (-(v[q] @ v[i]), i))[:5]
+        assert [r.id for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == q] == want

@@ -225,3 +225,97 @@ def test_messages(spark):
     df = spark.createDataFrame([("hi",)], "t string").select(schema.text_message("user", F.col("t")).alias("m"))
     assert json.loads(df.select(schema.wire_message(F.col("m")).alias("j")).first().j) == {"role": "user", "content": "hi"}
     assert df.schema["m"].dataType["content"].dataType.elementType["kind"] is not None
+
+
+def test_store_merges_segments(spark, tmp_path):
+    import random
+
+    rng, want = random.Random(3), {}
+    t = DocumentTable(spark, f"file://{tmp_path}/docs", "id string, content string", fanout=2)
+    df = lambda rows: spark.createDataFrame(rows, "id string, content string")
+    for i in range(9):
+        rows = {str(rng.randrange(12)): str(i) for _ in range(4)}
+        if i % 4 == 3:
+            t.delete(df(list(rows.items())))
+            want = {k: v for k, v in want.items() if k not in rows}
+        elif i % 4 == 1:
+            assert t.write(df(list(rows.items())), "skip") == len(rows.keys() - want.keys())
+            want = rows | want
+        else:
+            t.write(df(list(rows.items())), "overwrite")
+            want |= rows
+        assert {r.id: r.content for r in t.read().collect()} == want and t.count() == len(want)
+    t.compact(whole=True)
+    assert len(t._segments()[0]) == 1 and {r.id: r.content for r in t.read().collect()} == want
+
+
+def test_secrets(monkeypatch):
+    from lexloom.secrets import Secret, value_of
+
+    monkeypatch.setenv("LEXLOOM_TEST_KEY", "k")
+    s = Secret.from_env(["NOT_SET_ANYWHERE", "LEXLOOM_TEST_KEY"])
+    assert s.resolve() == "k" and Secret.from_dict(s.to_dict()) == s and value_of("x") == "x" and value_of(s) == "k"
+    assert "k" not in repr(Secret.from_token("k")).replace("token", "")
+    with pytest.raises(ValueError):
+        Secret.from_token("k").to_dict()
+    with pytest.raises(ValueError):
+        Secret.from_env("NOT_SET_ANYWHERE").resolve()
+    assert Secret.from_env("NOT_SET_ANYWHERE", strict=False).resolve() is None
+
+
+def test_tracing(spark, caplog):
+    import logging
+
+    from lexloom import tracing
+
+    p = Pipeline().add("a", Component(typed, {"out": int}))
+    tracing.enable(tracing.LoggingTracer())
+    try:
+        with caplog.at_level(logging.INFO, "lexloom.tracing"):
+            p.run({"a": {"value": 1}})
+    finally:
+        tracing.enable(None)
+    assert [r.getMessage().split()[0] for r in caplog.records] == ["pipeline.run/component.run", "pipeline.run"]
+    df, seen = tracing.observed(spark.range(5), "rows", n=F.count(F.lit(1)))
+    assert df.count() == 5 and seen.get == {"n": 5}
+
+
+def test_samples_and_types():
+    import typing
+
+    from lexloom.plans import samples as x
+    from lexloom.plans.pipeline import type_name, type_of
+
+    p = Pipeline().add("add", x.AddFixedValue(2)).add("double", x.double()).add("parity", x.Parity()).add("sum", x.Sum())
+    p.connect("add", "double").connect("double.value", "parity").connect("parity.even", "sum.values").connect("parity.odd", "sum.values")
+    assert p.run({"add": {"value": 3}})["sum"] == {"total": 10}
+    assert x.fstring("{a}-{b}", ["a", "b"])(a=1, b=2) == {"text": "1-2"} and x.remainder(3)(value=5) == {"remainder_is_2": 5}
+    assert x.repeat(["p", "q"])(value=1) == {"p": 1, "q": 1} and x.concatenate()(first="a", second="b") == {"value": "ab"}
+    for k in (int, list[int], dict[str, list[int]], int | None, Any, typing.Literal["a", 1], Component):
+        assert type_of(type_name(k)) == k
+    with pytest.raises(PipelineError):
+        type_of("print(1)")
+
+
+def test_component_as_tool():
+    from lexloom.plans import samples
+
+    t = agents.tool_from_component(samples.AddFixedValue(2), "add")
+    assert t.parameters == {"type": "object", "properties": {"value": {"type": "integer"}, "add": {"type": "integer"}}, "required": ["value"]} and t(value=1) == {"value": 3}
+
+
+def test_service_readers():
+    def server(url, method, headers, body, timeout):
+        if method == "PUT":
+            return 200, "text/html", b'<html><body><div class="page"><p>auto-\nmatic</p></div><div class="page">two<div>in</div></div></body></html>'
+        assert b"whisper-1" in body and b"RIFF" in body and headers["Authorization"] == "Bearer k"
+        return 200, "application/json", b'{"text": "spoken"}'
+
+    assert web.text_service(transport=server)(b"x", "f.pdf") == [("automatic\ftwoin", {})]
+    assert web.transcriber("http://t", "k", transport=server)(b"RIFF", "a/b.wav") == [("spoken", {"audio_file": "b.wav"})]
+
+
+def test_replies_end_at_stop_words():
+    from lexloom.operators import models
+
+    assert models.until(lambda: lambda batch: [x + " END more" for x in batch], ["END"])()(["a", "b"]) == ["a", "b"]
