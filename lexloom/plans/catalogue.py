@@ -106,7 +106,12 @@ def conditional_router(s, d):
     return route.conditional_route(t(s, d, "documents"), [("n_chars > 2000", "source", "long"), ("lang = 'en'", "lang", "english"), ("true", "'x'", "other")]).select("doc_id", "route", "output")
 
 
-@query()
+_HITS = ", ".join(f"len(list_filter(ws, lambda x: x IN ({', '.join(repr(w) for w in words.split())}))) AS {lang}" for lang, words in route.FREQUENT.items())
+
+
+@query(f"""WITH w AS (SELECT doc_id, string_split_regex(lower(text), '[^\\p{{L}}]+') AS ws FROM documents), n AS (SELECT doc_id, {_HITS} FROM w),
+  u AS (SELECT doc_id, unnest([struct_pack(n := en, lang := 'en'), struct_pack(n := de, lang := 'de'), struct_pack(n := fr, lang := 'fr'), struct_pack(n := es, lang := 'es')]) AS x FROM n),
+  b AS (SELECT doc_id, max(x) AS x FROM u GROUP BY doc_id) SELECT doc_id, CASE WHEN x.n > 0 AND x.lang IN ('en', 'de', 'fr') THEN x.lang ELSE 'unmatched' END AS language FROM b""")
 def language_router(s, d):
     return route.language_route(t(s, d, "documents"), ["en", "de", "fr"]).select("doc_id", "language")
 
@@ -380,13 +385,19 @@ _chunks("chunk_line", "line", 3, 1)
 _chunks("chunk_period", "period", 4, 0)
 
 
-@query()
+@query("""WITH u0 AS (SELECT doc_id, string_split(replace(text, '.' || chr(10), '.' || chr(12)), chr(12)) AS p FROM documents WHERE length(text) > 0),
+  u AS (SELECT doc_id, list_transform(range(len(p)), lambda i: p[i + 1] || CASE WHEN i < len(p) - 1 THEN chr(12) ELSE '' END) AS u FROM u0),
+  w AS (SELECT doc_id, u, unnest(range(1 + CAST(ceil(greatest(0, len(u) - 2) / 2) AS BIGINT))) AS i FROM u)
+  SELECT doc_id AS source_id, CAST(i AS INTEGER) AS split_id, CAST(1 + i * 2 AS INTEGER) AS page_number, array_to_string(list_slice(u, i * 2 + 1, i * 2 + 2), '') AS content FROM w""")
 def chunk_page(s, d):
     docs = t(s, d, "documents").select(F.col("doc_id").alias("id"), F.replace(F.col("text"), F.lit(".\n"), F.lit(".\f")).alias("content"))
     return X.split_documents(docs, "page", 2, 0).select("source_id", "split_id", "page_number", "content")
 
 
-@query()
+@query("""WITH u0 AS (SELECT doc_id, string_split(replace(text, chr(10), chr(10) || chr(10)), (chr(10) || chr(10))) AS p FROM documents WHERE length(text) > 0),
+  u AS (SELECT doc_id, list_transform(range(len(p)), lambda i: p[i + 1] || CASE WHEN i < len(p) - 1 THEN (chr(10) || chr(10)) ELSE '' END) AS u FROM u0),
+  w AS (SELECT doc_id, u, unnest(range(1 + CAST(ceil(greatest(0, len(u) - 2) / 1) AS BIGINT))) AS i FROM u)
+  SELECT doc_id AS source_id, CAST(i AS INTEGER) AS split_id, CAST(length(array_to_string(list_slice(u, 1, i * 1), '')) AS INTEGER) AS split_idx_start, array_to_string(list_slice(u, i * 1 + 1, i * 1 + 2), '') AS content FROM w""")
 def chunk_passage(s, d):
     docs = t(s, d, "documents").select(F.col("doc_id").alias("id"), F.replace(F.col("text"), F.lit("\n"), F.lit("\n\n")).alias("content"))
     return X.split_documents(docs, "passage", 2, 1).select("source_id", "split_id", "split_idx_start", "content")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lexloom.functions import text as X
 from lexloom.operators import agents, build, chunk, models, retrieve
-from lexloom.plans.catalogue import query, r6, t
+from lexloom.plans.catalogue import TOK, query, r6, t
 from lexloom.sources import files
 from lexloom.streaming import index as streams
 
@@ -84,7 +84,7 @@ def extractive_reader(s, d):
     return models.read_answers(pairs, factory, 5)
 
 
-@query()
+@query("SELECT conv_id, turn, 'words: ' || len(regexp_extract_all(coalesce(text, ''), '\\S+')) AS reply, CAST(2 AS BIGINT) AS steps FROM conversations WHERE role = 'user'")
 def agent_replies(s, d):
     rows = t(s, d, "conversations").where("role = 'user'").select("conv_id", "turn", "text")
 
@@ -97,14 +97,14 @@ def agent_replies(s, d):
     return agents.run_agents(rows, model, tools).select("conv_id", "turn", "reply", "steps")
 
 
-@query()
+@query("SELECT event_id, coalesce(CAST(json_extract(props, '$.k') AS BIGINT) <= 50, false) AS valid FROM events")
 def json_validator(s, d):
     schema = {"type": "object", "properties": {"k": {"type": "integer", "maximum": 50}}, "required": ["k"]}
     ok, bad = agents.validate_json(t(s, d, "events").select("event_id", "props"), schema, "props")
     return ok.select("event_id", F.lit(True).alias("valid")).union(bad.select("event_id", F.lit(False)))
 
 
-@query()
+@query(f"SELECT token, CAST(count(DISTINCT doc_id) AS BIGINT) AS df FROM (SELECT doc_id, unnest({TOK.format('text')}) AS token FROM documents) GROUP BY ALL")
 def term_count_deltas(s, d):
     docs = _docs(s, d)
     marked = docs.join(t(s, d, "labels").where("toxic = 1").select(F.col("doc_id").alias("id")), "id", "left_semi")
