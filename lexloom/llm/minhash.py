@@ -174,7 +174,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     Linked are equal texts and texts whose weighted Jaccard similarity over shingles is at least `settings.least`; classes are what
     links reach. kept holds for one row of each class: that with the smallest doc_id (null first), of equal ones any one.
     Null, empty and blank texts have no words: each is a class of its own and is kept. class_id of a class whose smallest doc_id
-    is null is null. Columns of the added names are replaced, others pass through.
+    is null is null. Columns of the added names are replaced, others pass through (names that begin with __ are reserved).
 
     Each distinct text enters once. In every band, texts are compared with one of their bucket, then what is not yet connected
     with another one; after three such rounds, all pairs of different classes that also share a second band (two texts of
@@ -213,7 +213,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     one = real.groupBy(F.col("__t1").alias("t1"), F.col("__t2").alias("t2")).agg(F.min(number).alias("one")).join(ids, ["t1", "t2"])
     packed = pack(real.withColumn("__n", number), text, ["__t1", "__t2", "__n"])
     texts = packed.join(one, (F.col("__t1") == F.col("t1")) & (F.col("__t2") == F.col("t2")) & F.col("__n").eqNullSafe(F.col("one")))
-    texts = tmp.keep(texts.select("i", "z", "size").dropDuplicates(["i"]), "texts")
+    texts = tmp.keep(texts.select("i", F.col("__z").alias("z"), F.col("__size").alias("size")).dropDuplicates(["i"]), "texts")
 
     def verify(pairs: DataFrame) -> DataFrame:
         """Of pairs (a, b), those that are similar enough."""
@@ -291,8 +291,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     per_text = per_text.join(joined, (F.col("__t1") == F.col("k1")) & (F.col("__t2") == F.col("k2")))
     classes = per_text.groupBy("root").agg(F.min("m").alias("f"), F.sum("n").alias("size")).where("size > 1").select("root", "f.d", F.col("f.k1").alias("f1"), F.col("f.k2").alias("f2"), (F.col("f.c") > 1).alias("__tie"), "size")
     plan = classes.join(joined, "root")
-    plan = tmp.keep(plan.select("k1", "k2", F.col("d").alias("class_id"), "__tie", F.col("size").alias("class_size"), ((F.col("k1") == F.col("f1")) & (F.col("k2") == F.col("f2"))).alias("__mine")), "plan")
-    met = keyed.join(plan, (F.col("__t1") == F.col("k1")) & (F.col("__t2") == F.col("k2")), "left")
+    plan = tmp.keep(plan.select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2"), F.col("d").alias("class_id"), "__tie", F.col("size").alias("class_size"), ((F.col("k1") == F.col("f1")) & (F.col("k2") == F.col("f2"))).alias("__mine")), "plan")
+    met = keyed.join(plan, (F.col("__t1") == F.col("__k1")) & (F.col("__t2") == F.col("__k2")), "left")
     alone = F.col("class_size").isNull()
     met = met.withColumn("__pick", alone | (F.col("__mine") & number.eqNullSafe(F.col("class_id"))))
     cols = [*[F.col(f"`{c}`") for c in base.columns], F.when(alone, number).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size")]

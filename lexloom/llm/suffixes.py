@@ -30,7 +30,7 @@ STEPS = (64, 16, 4, 1)
 def pack(texts: DataFrame, column: str, names: list[str]) -> DataFrame:
     """The named columns and the text as compressed bytes, for shuffles of text that Python reads next."""
     src = texts.select(*names, F.coalesce(F.col(column), F.lit("")).cast("binary").alias("__t"))
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[:-1]] + ["z binary", "size bigint"])
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[:-1]] + ["__z binary", "__size bigint"])
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = pa.Codec("zstd", compression_level=1)
@@ -38,7 +38,7 @@ def pack(texts: DataFrame, column: str, names: list[str]) -> DataFrame:
             raw = p.column(p.num_columns - 1).to_pylist()
             z = pa.array([codec.compress(t, asbytes=True) if t else b"" for t in raw], pa.binary())
             size = pa.array([len(t) for t in raw], pa.int64())
-            yield pa.RecordBatch.from_arrays([*p.columns[:-1], z, size], names=[*p.schema.names[:-1], "z", "size"])
+            yield pa.RecordBatch.from_arrays([*p.columns[:-1], z, size], names=[*p.schema.names[:-1], "__z", "__size"])
 
     return src.mapInArrow(run, schema)
 
@@ -72,7 +72,7 @@ def dedup_substrings(docs: DataFrame, least: int = 200, q: int = 73, text: str =
 
     Adds n_bytes, n_removed, n_spans (maximal removed runs) and kept_bytes (binary: the remaining bytes). Strings are judged
     on the input and never cross documents. Null text counts as empty; texts shorter than `least` stay. Equal rows have
-    equal results. Columns of the added names are replaced, others pass through. All texts are read whole, and counts
+    equal results. Columns of the added names are replaced, others pass through (names that begin with __ are reserved). All texts are read whole, and counts
     of fingerprints are aggregated before each shuffle, so a passage in a third of all documents is one row per task.
     """
     w = least - q + 1
@@ -150,7 +150,7 @@ def dedup_substrings(docs: DataFrame, least: int = 200, q: int = 73, text: str =
             yield pa.RecordBatch.from_pydict({k: pa.array(v, {"pos": pa.int32(), "left": pa.int32(), "bytes": pa.binary()}.get(k, pa.int64())) for k, v in out.items()})
 
     key = ["t1", "t2", "pos"]
-    ctx = met.select("t1", "t2", "z", "size", "asks").mapInArrow(contexts, "t1 bigint, t2 bigint, pos int, left int, bytes binary")
+    ctx = met.select("t1", "t2", "__z", "__size", "asks").mapInArrow(contexts, "t1 bigint, t2 bigint, pos int, left int, bytes binary")
     ctx = tmp.bucketed(ctx.dropDuplicates(key), "contexts", key)
     tmp.release()
 
@@ -192,13 +192,13 @@ def dedup_substrings(docs: DataFrame, least: int = 200, q: int = 73, text: str =
         tmp.drop(rows)
         before = step
     spans = done.groupBy("t1", "t2").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
-    known = tmp.keep(holder.where("copies > 1").select("t1", "t2", "copies").join(spans, ["t1", "t2"], "full").select(F.col("t1").alias("k1"), F.col("t2").alias("k2"), (F.coalesce("copies", F.lit(1)) > 1).alias("__again"), F.col("spans").alias("__spans")), "spans")
+    known = tmp.keep(holder.where("copies > 1").select("t1", "t2", "copies").join(spans, ["t1", "t2"], "full").select(F.col("t1").alias("__k1"), F.col("t2").alias("__k2"), (F.coalesce("copies", F.lit(1)) > 1).alias("__again"), F.col("spans").alias("__spans")), "spans")
     tmp.drop(ctx)
     tmp.release()
 
     rest = [c for c in base.columns if c != text]
     z = pack(keyed, text, [*[f"`{c}`" for c in rest], "__t1", "__t2"])
-    out = z.join(known, (F.col("__t1") == F.col("k1")) & (F.col("__t2") == F.col("k2")), "left").select(*[f"`{c}`" for c in rest], "z", "size", "__again", "__spans")
+    out = z.join(known, (F.col("__t1") == F.col("__k1")) & (F.col("__t2") == F.col("__k2")), "left").select(*[f"`{c}`" for c in rest], "__z", "__size", "__again", "__spans")
     ddl = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields if f.name != text] + ["n_bytes bigint", "n_removed bigint", "n_spans bigint", "kept_bytes binary"])
 
     def apply(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
