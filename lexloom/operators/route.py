@@ -52,10 +52,10 @@ FREQUENT = {"en": "the of and to in is that for with was are", "de": "der die da
 
 def detect_language(text: Column) -> Column:
     """The language whose frequent words occur most often; null where none does."""
-    words = F.split(F.lower(text), r"[^\p{L}]+")
+    low = F.lower(text)
 
     def hits(s: str) -> Column:
-        return F.size(F.filter(words, lambda w: w.isin(*s.split())))
+        return F.regexp_count(low, F.lit(rf"(?<!\p{{L}})(?:{'|'.join(s.split())})(?!\p{{L}})"))
 
     counts = [F.struct(hits(s).alias("n"), F.lit(lang).alias("lang")) for lang, s in sorted(FREQUENT.items())]
     best = F.array_max(F.array(*counts))
@@ -64,8 +64,8 @@ def detect_language(text: Column) -> Column:
 
 def language_route(df: DataFrame, languages: Sequence[str], text: str = "text", detector: Callable[[Column], Column] = detect_language) -> DataFrame:
     """Adds the detected language where it is listed, else `unmatched`."""
-    found = detector(F.col(text))
-    return df.withColumn("language", F.when(found.isin(*languages), found).otherwise("unmatched"))
+    found = df.withColumn("language", detector(F.col(text)))
+    return found.withColumn("language", F.when(F.col("language").isin(*languages), F.col("language")).otherwise("unmatched"))
 
 
 def label_route(df: DataFrame, classify: Callable[[Column], Column], labels: Sequence[str], text: str = "text") -> DataFrame:
