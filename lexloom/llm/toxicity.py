@@ -36,7 +36,7 @@ class Settings(NamedTuple):
     max_features: int = 512
     least_rows: int = 5
     least_gain: float = 25.0
-    ridge: float = 1.0
+    ridge: float = 0.05
     swap_penalty: float = 4.0
     identities: Sequence[Sequence[str]] = IDENTITIES
 
