@@ -7,16 +7,19 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexloom.llm.bytesview import LOWER, Rolling, mix, slices, view, words
+from lexloom.llm.bytesview import LOWER, MASK, Rolling, mix, slices, view, words
 from lexloom.llm.common import SPACE, Scratch, components, text_key
 from lexloom.llm.suffixes import pack, unpack
 
 CHUNK = 1_500_000
+BLOCK = 128  # texts of a bucket that meet as a block
 TABLE = 14  # bits of the tables of random draws
+NIBBLE, PER_WORD = 4, 16  # bits of a sample in a sketch, and samples in each of its words
 
 
 class Settings(NamedTuple):
@@ -67,7 +70,7 @@ class Shingles:
         for d in np.flatnonzero((count > 0) & (count < k)):
             g, f = h[at[d]], at[d]
             for x in h[f + 1 : at[d + 1]]:
-                g = mix(np.array([g + x], np.uint64))[0]
+                g = mix(np.array([g], np.uint64) + x)[0]
             grams[f], weight[f], inside[f] = g ^ np.uint64(0xABCDEF), idf[f : at[d + 1]].mean(), True
         doc, grams, weight = doc[inside], grams[inside], weight[inside]
         order = np.lexsort((grams, doc))
@@ -98,11 +101,12 @@ class Sampler:
         self.lc = (np.log(rng.gamma(2, 1, n)) - self.r).astype(np.float32)
         self.odd = rng.integers(1, 1 << 63, settings.bands * settings.rows, dtype=np.uint64) | np.uint64(1)
 
-    def bands(self, grams: np.ndarray, weight: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """Band hashes of each text that has shingles: texts x bands."""
+    def __call__(self, grams: np.ndarray, weight: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Band hashes of each text that has shingles (texts x bands), and its sketch: NIBBLE bits of each sample, in 64-bit words."""
         s, full = self.s, np.flatnonzero(np.diff(at) > 0)
         lw, begin = np.log(weight), at[full]
         out = np.zeros((len(full), s.bands), np.uint64)
+        sketch = np.zeros((len(full), -(-s.bands * s.rows // PER_WORD)), np.uint64)
         for k in range(s.bands * s.rows):
             h = grams * self.odd[k]
             i = (h >> np.uint64(64 - TABLE)).astype(np.int32)
@@ -115,8 +119,30 @@ class Sampler:
             who = (h ^ (h >> np.uint64(29)) ^ (t.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15))) & np.uint64(0xFFFFFFFF)
             least = np.minimum.reduceat(bits << np.uint64(32) | who, begin) if len(begin) else np.zeros(0, np.uint64)
             j = k // s.rows
-            out[:, j] = mix(out[:, j] ^ (least & np.uint64(0xFFFFFFFF)) + np.uint64(k + 1) * np.uint64(0xC2B2AE3D27D4EB4F))
-        return out
+            out[:, j] = mix(out[:, j] ^ (least & np.uint64(0xFFFFFFFF)) + np.uint64((k + 1) * 0xC2B2AE3D27D4EB4F & MASK))
+            sketch[:, k // PER_WORD] |= (least >> np.uint64(12) & np.uint64(15)) << np.uint64(NIBBLE * (k % PER_WORD))
+        return out, sketch
+
+
+def enough(settings: Settings, miss: float = 1e-5) -> int:
+    """How many samples of two sketches agree if the texts are similar enough, but for a chance of `miss`."""
+    n, p = settings.bands * settings.rows, settings.least + (1 - settings.least) / (1 << NIBBLE)
+    sure, m = 0.0, 0
+    while sure + (step := math.comb(n, m) * p**m * (1 - p) ** (n - m)) <= miss:
+        sure, m = sure + step, m + 1
+    return m
+
+
+def likely(settings: Settings, s1: Column, w1: Column, s2: Column, w2: Column) -> Column:
+    """Whether two texts may be similar enough: neither total weight is less than `least` of the other's, which is exact, and their sketches agree."""
+    n = settings.bands * settings.rows
+    apart = F.lit(0)
+    for i in range(-(-n // PER_WORD)):
+        x = s1[i].bitwiseXOR(s2[i])
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
+        apart = apart + F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
+    return (F.least(w1, w2) >= F.greatest(w1, w2) * (settings.least * 0.9999)) & (apart <= n - enough(settings))
 
 
 def similarity(g1: np.ndarray, w1: np.ndarray, g2: np.ndarray, w2: np.ndarray) -> float:
@@ -168,6 +194,17 @@ def common_words(docs: DataFrame, text: str, settings: Settings) -> tuple[np.nda
     return h[order], (1 + np.log(1 / np.maximum(df[order] / max(n, 1), settings.rare))).astype(np.float32)
 
 
+def merge(labels: DataFrame | None, edges: DataFrame, tmp: Scratch) -> DataFrame:
+    """(node, root) after further edges: components of the graph whose nodes are the roots so far."""
+    if labels is None:
+        return components(edges, tmp)
+    for end in ("a", "b"):
+        edges = edges.join(labels.select(F.col("node").alias(end), F.col("root").alias("__r")), end, "left").withColumn(end, F.coalesce("__r", end)).drop("__r")
+    roots = components(edges.where("a <> b"), tmp)
+    moved = labels.join(roots.select(F.col("node").alias("root"), F.col("root").alias("__up")), "root", "left").select("node", F.coalesce("__up", "root").alias("root"))
+    return tmp.keep(moved.unionByName(roots.join(labels.select("node"), "node", "left_anti")), "labels")
+
+
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", settings: Settings = Settings()) -> DataFrame:
     """Adds class_id (smallest doc_id of the class of near duplicates), class_size (rows in it) and kept to each row.
 
@@ -177,9 +214,11 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     is null is null. Columns of the added names are replaced, others pass through (names that begin with __ are reserved).
 
     Each distinct text enters once. In every band, texts are compared with one of their bucket, then what is not yet connected
-    with another one; after three such rounds, all pairs of different classes that also share a second band (two texts of
-    similarity 0.8 share at least one band with probability 0.9998, two with 0.997). A bucket of thousands of copies costs one
-    comparison each. Buckets and edges are rows; no bucket is collected in a task.
+    with another one. A bucket of thousands of copies costs one comparison each. After two such rounds, texts of different classes
+    meet in their buckets block by block (two texts of similarity 0.8 share a bucket with probability 0.9998); what leaves a block are
+    the links that connect its classes, never its pairs. Before texts are compared, a pair's total weights and sketches of all
+    samples must allow the similarity (they do in all but 1e-5 of cases at 0.8), so texts that only share a common passage are told
+    apart there. Buckets and edges are rows; no bucket is collected in a task.
     """
     spark = docs.sparkSession
     tmp = Scratch(spark, "minhash")
@@ -194,18 +233,22 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
         for p in parts:
             for s in slices(p, "t", CHUNK):
                 grams, weight, at = shingles(*view(s.column(2)))
-                bands = sampler.bands(grams, weight, at)
-                full = pa.array(np.flatnonzero(np.diff(at) > 0))
-                flat = pa.array(bands.view(np.int64).ravel())
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(bands) + 1, dtype=np.int32) * settings.bands), flat)
-                yield pa.RecordBatch.from_arrays([s.column(0).take(full), s.column(1).take(full), lists], names=["t1", "t2", "bands"])
+                bands, sketch = sampler(grams, weight, at)
+                rows = np.flatnonzero(np.diff(at) > 0)
+                lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.view(np.int64).ravel())) for x in (bands, sketch)]
+                whole = pa.array(np.add.reduceat(weight, at[rows], dtype=np.float64) if len(rows) else np.zeros(0))
+                full = pa.array(rows)
+                yield pa.RecordBatch.from_arrays([s.column(0).take(full), s.column(1).take(full), *lists, whole], names=["t1", "t2", "bands", "sketch", "weight"])
 
     src = real.select(F.col("__t1").alias("t1"), F.col("__t2").alias("t2"), F.col(f"`{text}`").alias("t"))
-    signed = src.mapInArrow(sign, "t1 bigint, t2 bigint, bands array<bigint>").groupBy("t1", "t2").agg(F.first("bands").alias("bands"))
+    signed = src.mapInArrow(sign, "t1 bigint, t2 bigint, bands array<bigint>, sketch array<bigint>, weight double")
+    signed = signed.groupBy("t1", "t2").agg(F.first(F.struct("bands", "sketch", "weight")).alias("s")).select("t1", "t2", "s.*")
     signed = tmp.keep(signed.withColumn("i", F.monotonically_increasing_id()), "signed")
     members = signed.select("i", F.posexplode("bands").alias("j", "h"))
-    shared = members.groupBy("j", "h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    members = tmp.keep(members.join(shared, ["j", "h"]), "members")
+    # Tables of buckets are written: joined from there, Spark deals out the rows of a hot bucket to several tasks.
+    shared = tmp.keep(members.groupBy("j", "h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "shared")
+    members = members.join(shared, ["j", "h"]).join(signed.select("i", "sketch", "weight"), "i")
+    members = tmp.keep(members, "members")
 
     # Texts of all members, one row each.
     number = F.col(f"`{doc_id}`").cast("long")
@@ -247,38 +290,81 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 
         return met.mapInArrow(run, "a bigint, b bigint")
 
-    links: list[DataFrame] = []
-    labels, rounds = None, 3
+    held, needed = dict[str, Shingles](), enough(settings)
+
+    def meet(p: pd.DataFrame) -> pd.DataFrame:
+        """Links between the texts of two blocks of a bucket: enough to connect what is similar, each pair in its first common bucket."""
+        i, root, w, block = (p[c].to_numpy() for c in ("i", "root", "weight", "b"))
+        bands, words = np.stack(p["bands"].to_list()), np.stack(p["sketch"].to_list()).view(np.uint64)
+        may = np.triu(root[:, None] != root[None, :], 1)
+        if p["bi"].iloc[0] != p["bj"].iloc[0]:
+            may &= block[:, None] != block[None, :]
+        may &= np.minimum.outer(w, w) >= np.maximum.outer(w, w) * (settings.least * 0.9999)
+        early = bands[:, : int(p["j"].iloc[0])]
+        may &= (early[:, None] != early[None, :]).all(2)
+        a, b = np.nonzero(may)
+        k = np.arange(settings.bands * settings.rows)
+        nibbles = (words[:, k // PER_WORD] >> (NIBBLE * (k % PER_WORD)).astype(np.uint64)).astype(np.uint8) & 15
+        agree = (nibbles[a] == nibbles[b]).sum(1)
+        a, b, agree = a[agree >= needed], b[agree >= needed], agree[agree >= needed]
+        if not len(a):
+            return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
+        shingles = held.get("s") or held.setdefault("s", Shingles(settings, common.value))
+        part: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        raw, at = [], []
+        for k in [*np.union1d(a, b).tolist(), -1]:
+            if raw and (k < 0 or sum(map(len, raw)) > CHUNK):
+                grams, weight, bound = shingles(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+                part |= {x: (grams[bound[n] : bound[n + 1]], weight[bound[n] : bound[n + 1]]) for n, x in enumerate(at)}
+                raw, at = [], []
+            if k >= 0:
+                raw.append(unpack(p["z"].iloc[k], int(p["size"].iloc[k])))
+                at.append(k)
+        up: dict[int, int] = {}
+
+        def top(x: int) -> int:
+            while (y := up.get(x, x)) != x:
+                up[x] = x = up.get(y, y)
+            return x
+
+        out, names = [], root.tolist()
+        order = np.argsort(-agree, kind="stable")
+        for x, y in zip(a[order].tolist(), b[order].tolist(), strict=True):
+            ra, rb = top(names[x]), top(names[y])
+            if ra != rb and similarity(*part[x], *part[y]) >= settings.least:
+                up[max(ra, rb)] = min(ra, rb)
+                out.append((i[x], i[y]))
+        return pd.DataFrame(out, columns=["a", "b"]).astype(np.int64)
+
+    labels, rounds = None, 2
     for r in range(rounds + 1):
         state = members
         if labels is not None:
             state = members.join(labels.withColumnRenamed("node", "i"), "i", "left")
         else:
             state = state.withColumn("root", F.lit(None).cast("long"))
-        state = state.select("j", "h", "i", F.coalesce("root", "i").alias("root"))
-        split = state.groupBy("j", "h").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min(F.struct(F.xxhash64(F.lit(r), "i"), "i")).alias("p")).where("lo <> hi")
-        open_ = tmp.keep(state.join(split.select("j", "h", F.col("p.i").alias("p")), ["j", "h"]), "open")
+        state = state.select("j", "h", "i", F.coalesce("root", "i").alias("root"), "sketch", "weight")
+        # First the same text wherever it stands, as one comparison joins a copy; then another in each bucket, for texts that few resemble.
+        draw = F.xxhash64(F.lit(r), "i") if r == 0 else F.xxhash64(F.lit(r), "j", "h", "i")
+        split = state.groupBy("j", "h").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min(F.struct(draw, "i")).alias("p")).where("lo <> hi")
+        split = tmp.keep(split.select("j", "h", F.col("p.i").alias("p")), "split")
+        open_ = tmp.keep(state.join(split, ["j", "h"]), "open")
         if r < rounds:
             # The pivot's own class is not compared again.
-            own = open_.where("i = p").select("j", "h", F.col("root").alias("pr"))
-            pairs = open_.join(own, ["j", "h"]).where("root <> pr").select(F.least("i", "p").alias("a"), F.greatest("i", "p").alias("b")).distinct()
+            own = open_.where("i = p").select("j", "h", F.col("root").alias("pr"), F.col("sketch").alias("ps"), F.col("weight").alias("pw"))
+            met = open_.join(own, ["j", "h"]).where((F.col("root") != F.col("pr")) & likely(settings, F.col("sketch"), F.col("weight"), F.col("ps"), F.col("pw")))
+            found = verify(met.select(F.least("i", "p").alias("a"), F.greatest("i", "p").alias("b")).distinct())
         else:
-            # What is left, such as buckets of unlike texts around a common passage, must share a second band.
-            two = open_.groupBy("i", "root").agg(F.sort_array(F.collect_list(F.struct("j", "h"))).alias("bs"))
-            keys = F.flatten(F.transform("bs", lambda x, n: F.transform(F.slice("bs", n + 2, settings.bands), lambda y: F.xxhash64(x["j"], x["h"], y["j"], y["h"]))))
-            two = two.select("i", "root", F.explode(keys).alias("k"))
-            split = two.groupBy("k").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("k")
-            two = tmp.keep(two.join(split, "k"), "two")
-            other = two.select("k", F.col("i").alias("b"), F.col("root").alias("rb"))
-            pairs = two.withColumnRenamed("i", "a").join(other, "k").where("a < b and root <> rb").select("a", "b").distinct()
-        new = tmp.keep(verify(pairs), "links")
-        links.append(new)
-        edges = links[0]
-        for x in links[1:]:
-            edges = edges.unionByName(x)
-        found = new.limit(1).count()
-        if found:
-            labels = components(edges, tmp)
+            # What is left, such as copies that differ from most others, meets in blocks; block i meets block j >= i once.
+            sizes = tmp.keep(open_.groupBy("j", "h").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("nb")), "blocks")
+            here = open_.join(sizes, ["j", "h"]).join(texts, "i").join(signed.select("i", "bands"), "i")
+            here = here.withColumn("b", F.pmod(F.xxhash64("i"), F.col("nb")).cast("int"))
+            duo = F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda o: F.struct(F.least("b", o).alias("bi"), F.greatest("b", o).alias("bj")))
+            here = here.select("j", "h", "i", "root", "weight", "sketch", "bands", "z", "size", "b", F.inline(duo))
+            found = here.groupBy("j", "h", "bi", "bj").applyInPandas(meet, "a bigint, b bigint")
+        new = tmp.keep(found, "links")
+        if new.limit(1).count():
+            labels = merge(labels, new, tmp)
         if not open_.limit(1).count():
             break
     # Classes over distinct texts; then over rows.

@@ -263,7 +263,7 @@ def test_op5_sampling_probability():
     w = rng.uniform(1, 8, 500).astype(np.float32)
     a, b = np.r_[shared, only[:100]], np.r_[shared, only[100:]]
     wa, wb = np.r_[w[:300], w[300:400]], np.r_[w[:300] * 1.3, w[400:]].astype(np.float32)
-    got = Sampler(s).bands(np.r_[a, b], np.r_[wa, wb], np.array([0, 400, 800]))
+    got, _ = Sampler(s)(np.r_[a, b], np.r_[wa, wb], np.array([0, 400, 800]))
     j = np.minimum(wa[:300], wb[:300]).sum() / (np.maximum(wa[:300], wb[:300]).sum() + wa[300:].sum() + wb[300:].sum())
     assert abs((got[0] == got[1]).mean() - j) < 0.04
 
