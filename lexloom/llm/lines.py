@@ -96,7 +96,8 @@ def dedup_lines(docs: DataFrame, least_chars: int = 20, least_docs: int = 3, bat
     log = LineRuns(tmp, fanout)
     for i in range(len(cuts) + 1):
         log.add(counted.where(F.col("batch") == i).drop("batch"))
-    known = log.totals().where(F.col("n") >= least_docs).drop("n")
+    # Written, so that Spark can deal out the rows of a hot line in the join.
+    known = tmp.keep(log.totals().where(F.col("n") >= least_docs).drop("n"), "known")
     drops = rows.join(known, ["h1", "h2"]).where(~F.col("doc_id").eqNullSafe(F.col("top")))
     drops = drops.groupBy(F.col("doc_id").alias("__d"), F.col("t1").alias("__t1"), F.col("t2").alias("__t2")).agg(F.collect_set("pos").alias("__drop"))
     drops = tmp.keep(drops, "drops")
