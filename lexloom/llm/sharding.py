@@ -25,7 +25,8 @@ def propagate(cells: DataFrame, key: Sequence[str], quota: Sequence[int], tmp: S
 
     One round: among shards with room, each link value's target is the one that holds most of its rows. Its rows in other,
     not fuller shards ask to move there. Each shard grants requests by falling gain (rows met there) until its room is full; the running sums come from counts by (shard, level of gain, slice of hash) and inside
-    those, so no task sorts all requests of a shard. Rounds end when nothing moves.
+    those, so no task sorts all requests of a shard. Rounds end when nothing moves, or after `rounds`: with little room they
+    go on for long, so `_pack` settles what is still divided then.
     """
     spark = cells.sparkSession
     for r in range(rounds):
@@ -67,7 +68,8 @@ def shard(docs: DataFrame, link: Sequence[str], order: Sequence[str], shards: in
     Rows with equal values in the `link` columns are linked with one another (null is a value); the graph is kept as a
     star for each link value, never as pairs. Linked rows start in shards drawn by hash and are moved by `propagate`; a link value
     is held as its counts by shard, at most `shards` rows of whatever size. One with more rows than a quota fills
-    several shards. Rows without links take the places left. Quotas are N/shards rounded up or down, so counts differ by
+    several shards; it fills one in a round, so there are as many rounds as shards if need be, `rounds` at least, and link
+    values that are divided after them are laid out whole. Rows without links take the places left. Quotas are N/shards rounded up or down, so counts differ by
     one at most (the `rows` law), and no edge is cut but where a shard is full.
 
     Ranks come from bucket counts, so no task sorts a large group; only one row for each shard is broadcast. Rows that
@@ -86,9 +88,10 @@ def shard(docs: DataFrame, link: Sequence[str], order: Sequence[str], shards: in
     linked = counts.groupBy(*key).agg(F.sum("n").alias("__all"), F.collect_list(F.struct("s", "n")).alias("__cells")).where("__all > 1")
     # A hash may start more linked rows in a shard than its quota; those beyond it are dealt on before rounds begin.
     cells = tmp.keep(linked.select(*key, F.inline("__cells")), "cells")
-    cells, load = propagate(cells, key, quota, tmp, buckets, rounds)
+    cells, load = propagate(cells, key, quota, tmp, buckets, max(rounds, shards))
     while any(x > q for x, q in zip(load, quota, strict=True)):
         cells, load = _shed(cells, key, load, quota, tmp, buckets)
+    cells, load = _pack(cells, key, load, quota, tmp, buckets)
     over = Window.partitionBy(*key).orderBy("s").rowsBetween(Window.unboundedPreceding, 0)
     spans = cells.withColumn("hi", F.sum("n").over(over)).groupBy(*[F.col(k).alias(f"{k}c") for k in key]).agg(F.sort_array(F.collect_list(F.struct("hi", "s"))).alias("__spans"))
     same = F.lit(True)
@@ -137,3 +140,30 @@ def _shed(cells: DataFrame, key: Sequence[str], load: list[int], quota: Sequence
     nxt = tmp.keep(out.groupBy(*key, "s").agg(F.sum("n").alias("n")), "shed")
     got = {x["s"]: x["n"] for x in nxt.groupBy("s").agg(F.sum("n").alias("n")).collect()}
     return nxt, [got.get(i, 0) for i in range(len(quota))]
+
+
+def _pack(cells: DataFrame, key: Sequence[str], load: list[int], quota: Sequence[int], tmp: Scratch, buckets: int) -> tuple[DataFrame, list[int]]:
+    """Lays link values that are divided side by side over the places that whole ones leave, largest first, widest room first.
+
+    So a link value is cut only where a shard is full. No shard may be over its quota.
+    """
+    values = tmp.keep(cells.groupBy(*key).agg(F.count(F.lit(1)).alias("c"), F.min("s").alias("s"), F.sum("n").alias("n")), "values")
+    if not values.where("c > 1").limit(1).count():
+        return cells, load
+    whole = values.where("c = 1").select(*key, "s", "n")
+    taken = {x["s"]: x["n"] for x in whole.groupBy("s").agg(F.sum("n").alias("n")).collect()}
+    rooms, ends = sorted(((q - taken.get(i, 0), i) for i, q in enumerate(quota)), key=lambda x: (-x[0], x[1])), [0]
+    for room, _ in rooms:
+        ends.append(ends[-1] + room)
+    level = F.lit(126) - F.floor(F.log2(F.col("n").cast("double")) * 2).cast("int")
+    apart = values.where("c > 1").withColumns({"__level": level, "__fine": F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int")})
+    sums = apart.groupBy("__level", "__fine").agg(F.sum("n").alias("m"))
+    before = F.coalesce(F.sum("m").over(Window.orderBy("__level", "__fine").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = sums.select(F.col("__level").alias("tl"), F.col("__fine").alias("tf"), before.alias("before"))
+    upto = F.sum("n").over(Window.partitionBy("__level", "__fine").orderBy(*key).rowsBetween(Window.unboundedPreceding, 0))
+    laid = apart.withColumn("upto", upto).join(sums, (F.col("__level") == F.col("tl")) & (F.col("__fine") == F.col("tf"))).withColumn("lo", F.col("before") + F.col("upto") - F.col("n"))
+    cuts, to = F.array(*[F.lit(e).cast("long") for e in ends]), F.array(*[F.lit(i) for _, i in rooms])
+    pieces = F.transform(to, lambda s, j: F.struct(s.alias("s"), (F.least(F.col("lo") + F.col("n"), F.get(cuts, j + 1)) - F.greatest(F.col("lo"), F.get(cuts, j))).alias("n")))
+    nxt = tmp.keep(whole.unionByName(laid.select(*key, F.inline(F.filter(pieces, lambda p: p["n"] > 0)))), "packed")
+    got = {x["s"]: x["n"] for x in nxt.groupBy("s").agg(F.sum("n").alias("n")).collect()}
+    return nxt, [got.get(i, 0) for i in range(len(quota))]

@@ -109,6 +109,17 @@ def test_op1_hot_group(spark):
     assert per["hot"] <= 4 and (per.drop("hot") > 1).mean() < 0.05
 
 
+def test_op1_group_of_many_shards(spark):
+    from lexloom.llm.sharding import shard
+
+    df = spark.range(6_000).selectExpr("cast(id as int) AS i", "if(id % 3 = 0, 'hot', concat('t', id)) AS t")
+    out = shard(df, ["t"], ["i"]).toPandas()
+    n = out.groupby("shard").size()
+    assert len(out) == 6_000 and len(n) == 40 and n.max() - n.min() <= 1
+    # 2,000 rows in shards of 150.
+    assert out[out.t == "hot"].shard.nunique() == 14
+
+
 def test_op1_all_linked(spark):
     from lexloom.llm.sharding import shard
 
