@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 
 import pandas as pd
@@ -40,6 +41,7 @@ def fit(lengths: list[tuple[int, int]], budget: int, slack: int = 4_096) -> dict
     lengths: (length, count). An even share of each length comes first; whole documents, longest first, then bring the
     rest below `slack`; the rest is a bounded knapsack over the documents left, solved exactly by sets of reachable sums
     kept as bits, counts split into powers of two. The work depends on the number of distinct lengths, not of documents.
+    Where that misses the budget, `nearest` searches with documents given back.
     """
     have = {size: n for size, n in lengths if size > 0 and n > 0}
     total = sum(size * n for size, n in have.items())
@@ -72,9 +74,64 @@ def fit(lengths: list[tuple[int, int]], budget: int, slack: int = 4_096) -> dict
         if not before >> at & 1:
             take[size] += k
             at -= size * k
+    if sum(size * n for size, n in take.items()) != budget:
+        take = nearest(have, budget)
     return {size: n for size, n in take.items() if n}
 
 
+def nearest(have: dict[int, int], budget: int) -> dict[int, int]:
+    """How many documents of each length (have: count by length) to take for the sum nearest to the budget, at most the total.
+
+    An even share and whole documents, longest first, come within the longest length L of the budget. Then documents of ever
+    more lengths, and ever more of each, are taken back and chosen anew among all sums (as bits, in units of the lengths' common
+    divisor), until the budget is met or all are free. 3 L of a length suffice: with more changes, in an order that keeps
+    running sums within 3 L, two sums are equal, and what lies between can be undone. Above half of the total, what is left out is fitted.
+    """
+    total = sum(size * n for size, n in have.items())
+    if 2 * budget > total:
+        out = nearest(have, total - budget)
+        return {size: n - out.get(size, 0) for size, n in have.items()}
+    unit = math.gcd(*have)
+    sizes, goal = sorted(have), (2 * budget + unit) // (2 * unit)
+    base = {size: n * budget // total for size, n in have.items()}
+    rest = budget - sum(size * n for size, n in base.items())
+    for size in reversed(sizes):
+        more = min(have[size] - base[size], rest // size)
+        base[size] += more
+        rest -= more * size
+    best, gap = base, rest
+    lengths, each, most = 16, 1, min(3 * sizes[-1] // unit, max(have.values()))
+    while gap:
+        free = sizes[:lengths]
+        back = {size: min(base[size], each) for size in free}
+        ways = {size: back[size] + min(have[size] - base[size], each) for size in free}
+        start = {size: n - back.get(size, 0) for size, n in base.items()}
+        want = goal - sum(size * n for size, n in start.items()) // unit
+        top = want + gap // unit + 1
+        mask, reached, steps = (1 << (top + 1)) - 1, 1, []
+        for size in free:
+            n, part = min(ways[size], top * unit // size), 1
+            while n > 0 and not reached >> want & 1:
+                k = min(part, n)
+                steps.append((size, k, reached))
+                reached |= reached << (size // unit * k) & mask
+                n, part = n - k, part * 2
+        below = (reached & ((2 << want) - 1)).bit_length() - 1
+        over = reached >> want
+        ends = [below, want + (over & -over).bit_length() - 1] if over else [below]
+        off, at = min((abs((goal - want + e) * unit - budget), e) for e in ends)
+        if off < gap:
+            best, gap = dict(start), off
+            for size, k, before in reversed(steps):
+                if not before >> at & 1:
+                    best[size] += k
+                    at -= size // unit * k
+        if over & 1 or (lengths >= len(sizes) and each >= most):
+            break
+        lengths, each = lengths * 4, each * 2
+    return best
+
+
 def sizes(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.withColumn("size", F.coalesce(F.regexp_count(F.col(f"`{text}`"), F.lit(WORD)), F.lit(0)).cast("long"))
 

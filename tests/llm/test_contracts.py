@@ -332,6 +332,22 @@ def test_op6_fit():
     assert sum(k * n for k, n in fit([(7, 3), (5, 2), (3, 1)], 19).items()) == 19
 
 
+def test_op6_fit_is_nearest():
+    from lexloom.llm.mixing import fit
+
+    assert fit([(100_000, 3), (90_000, 2)], 250_000) == {100_000: 1, 90_000: 2}
+    rng = random.Random(5)
+    for i in range(400):
+        have = {rng.randrange(1, 60_000) * (1, 7)[i % 2]: rng.randrange(1, 4) for _ in range(rng.randrange(1, 7))}
+        budget = rng.randrange(sum(k * n for k, n in have.items()) + 1)
+        sums = {0}
+        for k, n in have.items():
+            sums = {x + k * j for x in sums for j in range(n + 1)}
+        take = fit(list(have.items()), budget)
+        assert all(0 <= n <= have[k] for k, n in take.items())
+        assert abs(budget - sum(k * n for k, n in take.items())) == min(abs(budget - x) for x in sums)
+
+
 def test_op6_repeated_rows(spark):
     from lexloom.llm.mixing import mix_documents
 
