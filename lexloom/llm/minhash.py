@@ -186,7 +186,7 @@ def common_words(docs: DataFrame, text: str, settings: Settings) -> tuple[np.nda
 
     src = docs.select(F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("t"))
     n = docs.count()
-    seen = src.mapInArrow(count, "w bigint, n bigint").groupBy("w").agg(F.sum("n").alias("n")).where(F.col("n") >= max(2, math.ceil(settings.rare * n)))
+    seen = src.mapInArrow(count, "w bigint, n bigint").groupBy("w").agg(F.sum("n").alias("n")).where(F.col("n") >= max(1, math.ceil(settings.rare * n)))
     table = seen.toArrow()
     h = np.array(table.column("w").to_pylist(), np.int64).view(np.uint64)
     df = np.array(table.column("n").to_pylist(), np.float64)

@@ -265,6 +265,16 @@ def test_op5_repeated_and_null_ids(spark):
     assert out[out.text.notna() & out.text.str.startswith("w0")].kept.sum() == 1
 
 
+def test_op5_words_of_one_document_in_few(spark):
+    from lexloom.llm.minhash import near_duplicates
+
+    w = [f"w{i}" for i in range(100)]
+    near = [*w[:30], "new1", *w[31:60], "new2", *w[61:]]
+    rows = [(0, " ".join(w)), (1, " ".join(near)), *((i, f"a{i} b{i} c{i} d{i} e{i} f{i}") for i in range(2, 200))]
+    out = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).toPandas()
+    assert sorted(out[out.class_size == 2].doc_id) == [0, 1]
+
+
 def test_op5_sampling_probability():
     from lexloom.llm.minhash import Sampler, Settings
 
