@@ -21,7 +21,37 @@ from pyspark.sql import functions as F
 from lexloom.llm.bytesview import slices
 
 NONE = 1 << 62
-PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?L+| ?N+| ?[^\sLN]+|\s+(?!\S)|\s+"""
+# White space of the pattern other than blank and line feed.
+ODD_SPACE = "\t\v\f\r\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+# Ranges of letters and numbers assigned after Unicode 16, which the tokenizer's classes end with.
+LATE = (
+    (0x558, 0x558), (0x58B, 0x58C), (0x88F, 0x88F), (0xC5C, 0xC5C), (0xCDC, 0xCDC), (0x208F, 0x208F), (0x209D, 0x209F), (0xA7CE, 0xA7CF),
+    (0xA7D2, 0xA7D2), (0xA7D4, 0xA7D4), (0xA7DD, 0xA7DD), (0xA7E2, 0xA7E2), (0xA7F1, 0xA7F1), (0xAB6C, 0xAB6D), (0x107BB, 0x107BF),
+    (0x10940, 0x10959), (0x10EC5, 0x10EC7), (0x10ED9, 0x10EEE), (0x11B0A, 0x11B0A), (0x11DB0, 0x11DDB), (0x11DE0, 0x11DE9),
+    (0x11DF1, 0x11DF1), (0x1246F, 0x1246F), (0x12475, 0x1247F), (0x12550, 0x12686), (0x16EA0, 0x16EB8), (0x16EBB, 0x16ED3),
+    (0x16FF2, 0x16FF6), (0x187F8, 0x187FF), (0x18CD6, 0x18CDA), (0x18D09, 0x18D20), (0x18D80, 0x18DF2), (0x18E00, 0x19191),
+    (0x191A0, 0x191D2), (0x1B123, 0x1B128), (0x1B168, 0x1B168), (0x1D6A6, 0x1D6A6), (0x1DF1F, 0x1DF24), (0x1DF2B, 0x1DF81),
+    (0x1DF90, 0x1DF96), (0x1DFCD, 0x1DFFF), (0x1E6C0, 0x1E6DE), (0x1E6E0, 0x1E6E2), (0x1E6E4, 0x1E6E5), (0x1E6E7, 0x1E6ED),
+    (0x1E6F0, 0x1E6F4), (0x1E6FE, 0x1E6FF), (0x2B73A, 0x2B73F), (0x2B81E, 0x2B81E), (0x2CEA2, 0x2CEAD), (0x323B0, 0x33479),
+    (0x3D000, 0x3FC3F),
+)
+
+
+class Splitter:
+    """Words of a text by PATTERN, L and N being the letters and numbers of Unicode 16 whatever later ones the regex package knows."""
+
+    def __init__(self):
+        import regex
+
+        late = "".join(f"\\U{a:08X}-\\U{b:08X}" for a, b in LATE)
+        self.late = regex.compile(f"[{late}]").search
+        self.plain = regex.compile(PATTERN.replace("L", r"\p{L}").replace("N", r"\p{N}")).findall
+        known = PATTERN.replace("[^\\sLN]", rf"(?:[{late}]|[^\s\p{{L}}\p{{N}}])")
+        self.exact = regex.compile(known.replace(" ?L+", rf" ?(?:(?![{late}])\p{{L}})+").replace(" ?N+", rf" ?(?:(?![{late}])\p{{N}})+")).findall
+
+    def __call__(self, t: str) -> list[str]:
+        return self.plain(t) if t.isascii() or not self.late(t) else self.exact(t)
 
 
 def byte_letters() -> dict[str, int]:
@@ -83,7 +113,7 @@ class Encoder:
         self.merges, self.special, self.remember = model["merges"], model["special"], remember
         self.pair, self.rank, self.made = model["slots"]
         self.known: dict[str, bytes] = {}
-        self.split = regex.compile(PATTERN).findall
+        self.split = Splitter()
         self.tokens = model["tokens"]
         self.at_special = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
 
@@ -183,12 +213,13 @@ class Encoder:
         """Parts of a text that are split alike on their own: its words, or coarser ones that `learn` splits further.
 
         Where every white space is one blank or line feed between others, each part is a line feed or what stands up to
-        the next blank or line feed, with the blank before it.
+        the next blank or line feed, with the blank before it: no word of the pattern goes over such a bound.
         """
-        if not ("  " in t or "\n\n" in t or " \n" in t or "\n " in t or "\0" in t) and t[:1] not in " \n" and t[-1:] not in " \n":
-            if len(t.split()) == 1 + t.count(" ") + t.count("\n"):
-                return t.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
-        return self.split(t)
+        if "  " in t or "\n\n" in t or " \n" in t or "\n " in t or "\0" in t or t[:1] in " \n" or t[-1:] in " \n":
+            return self.split(t)
+        if any(c in t for c in (ODD_SPACE[:4] if t.isascii() else ODD_SPACE)):
+            return self.split(t)
+        return t.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
 
     def learn(self, units: Iterable[str]) -> None:
         """Encodes units that are not yet in the table."""
@@ -242,7 +273,7 @@ class Encoder:
 def encode_documents(docs: DataFrame, path: str, text: str = "text", ids: bool = True, decoded: bool = False) -> DataFrame:
     """Adds bpe_ids (array of int; only with ids), bpe_text (only with decoded), n_tokens, ids_sha256 and decoded_sha256.
 
-    Null text counts as empty: no tokens, the hash of nothing. Whole texts are encoded, of any length; repeated rows give
+    Words are those of Unicode 16, as in the tokenizers library. Null text counts as empty: no tokens, the hash of nothing. Whole texts are encoded, of any length; repeated rows give
     repeated results; other columns pass through, except that columns of the added names are replaced.
     """
     added = [("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]
