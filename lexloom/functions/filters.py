@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import datetime
+from datetime import datetime, time
 from functools import reduce
 from typing import Any
 
@@ -98,16 +98,24 @@ def resolver(df: DataFrame) -> Callable[[str, Any], Column]:
             return F.get_json_object("meta", "$." + path).try_cast(_type_of(value))
         return F.lit(None).cast(_type_of(value))
 
+    find.kind = lambda field: names.get(field, names.get(field.removeprefix("meta.")))
     return find
 
 
-def _order(col: Column, op: str, value: Any) -> Column:
+def _order(col: Column, op: str, value: Any, kind: T.DataType | None = None) -> Column:
+    """An ordering comparison. Columns of dates and times are compared as they are, so that the scan prunes by them; others are read as text."""
     if value is None:
         return F.lit(False)
     if isinstance(value, str):
         when = parse_date(value)
-        text = F.try_to_timestamp(col.cast("string"))
-        col, value = text, F.lit(when).cast("timestamp") if when.tzinfo else F.lit(when.isoformat(sep=" ")).cast("timestamp")
+        at = F.lit(when).cast("timestamp") if when.tzinfo else F.lit(when.isoformat(sep=" ")).cast("timestamp")
+        if isinstance(kind, T.TimestampNTZType):
+            at = at.cast("timestamp_ntz") if when.tzinfo else F.lit(when.isoformat(sep=" ")).cast("timestamp_ntz")
+        elif isinstance(kind, T.DateType) and not when.tzinfo and when.time() == time():
+            at = F.lit(when.date())
+        elif not isinstance(kind, (T.TimestampType, T.DateType)):
+            col = F.try_to_timestamp(col.cast("string"))
+        value = at
     test = {">": lambda: col > value, ">=": lambda: col >= value, "<": lambda: col < value, "<=": lambda: col <= value}[op]()
     # Never null, and still pushed to the scan, which coalesce(test, false) isn't.
     return col.isNotNull() & test
@@ -127,7 +135,7 @@ def compile_filter(spec: dict[str, Any], find: Callable[[str, Any], Column]) ->
             if None in value:
                 hit = hit | col.isNull()
             return hit if op == "in" else ~hit
-        return _order(col, op, value)
+        return _order(col, op, value, getattr(find, "kind", lambda _: None)(spec["field"]))
     parts = [compile_filter(c, find) for c in spec["conditions"]]
     both = reduce(lambda a, b: a & b, parts, F.lit(True))
     if spec["operator"] == "AND":

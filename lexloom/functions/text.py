@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Iterator, Sequence
 
@@ -64,38 +65,36 @@ def drop_regex(text: Column, pattern: str) -> Column:
     return _per_page(text, lambda p: strip(F.regexp_replace(p, pattern, "")))
 
 
-def common_edge(pages: list[str], head: bool, chars: int = 300, least: int = 3, most: int = 29) -> str:
-    """The longest run of 3 to 29 words that the first (or last) characters of all pages share."""
-    cut = [p[:chars] if head else p[-chars:] for p in pages]
+def shared_run(texts: list[str], least: int = 3, most: int = 29) -> str:
+    """The longest run of `least` to `most` words, white space between them included, that all texts hold; "" where there is none."""
 
-    def grams(t: str) -> list[str]:
-        w = t.replace("\n", "\n ").replace("\t", "\t ").split(" ")
-        return [" ".join(w[i : i + n]).strip() for n in range(least, most + 1) for i in range(len(w) - n + 1)]
+    def runs(t: str) -> dict[int, set[str]]:
+        at = [(m.start(), m.end()) for m in re.finditer(r"\S+", t)]
+        return {n: {t[at[i][0] : at[i + n - 1][1]] for i in range(len(at) - n + 1)} for n in range(least, most + 1)}
 
-    shared = set(grams(cut[0])) if cut else set()
-    for t in cut[1:]:
-        shared &= set(grams(t))
-    return max(sorted(shared), key=len, default="").strip()
+    held = [runs(t) for t in texts]
+    both = [set.intersection(*[h[n] for h in held]) for n in range(least, most + 1)] if held else []
+    return max(sorted(set().union(*both)), key=len, default="")
+
+
+def without_edges(text: str, chars: int = 300) -> str:
+    """A text without the header and footer of its pages: what the first, then the last `chars` characters of all pages but the first and the last share.
+
+    They go from every page: a run that begins a page with the white space after it, of which one blank stays, any other with that before it.
+    """
+    pages = text.split("\f")
+    for part in (slice(None, chars), slice(-chars, None)):
+        found = re.escape(shared_run([p[part] for p in pages[1:-1] if p]))
+        if found:
+            cut = re.compile(rf"^(?:{found})(\s)?\s*|\s*{found}")
+            pages = [cut.sub(lambda m: " " if m[1] else "", p) for p in pages]
+    return "\f".join(pages)
 
 
 @F.pandas_udf(T.StringType())
 def drop_repeated_edges(texts: pd.Series) -> pd.Series:
     """Headers and footers that inner pages share are cut from every page."""
-
-    def one(t):
-        if t is None:
-            return None
-        pages = t.split("\f")
-        inner = [p for p in pages[1:-1] if p]
-        if len(inner) < 2:
-            return t
-        for head in (True, False):
-            found = common_edge(inner, head)
-            if found:
-                pages = [p.replace(found, "") for p in pages]
-        return "\f".join(pages)
-
-    return texts.map(one, na_action="ignore")
+    return texts.map(without_edges, na_action="ignore")
 
 
 def clean(text: Column, spaces: bool = True, empty_lines: bool = True, substrings: Sequence[str] = (), regex: str | None = None, repeated: bool = False, unicode_form: str | None = None, ascii_only: bool = False) -> Column:
@@ -134,15 +133,30 @@ def window_bounds(n: int, length: int, overlap: int, threshold: int = 0) -> list
     return out
 
 
+OVERLAP = "array<struct<split_id: int, start: int, end: int>>"
+
+
+def overlap_ranges(bounds: list[tuple[int, int]]) -> list[list[dict]]:
+    """For chunks at these places of a text, the neighbours that share characters with each, and the shared range in the neighbour."""
+    out: list[list[dict]] = [[] for _ in bounds]
+    for k in range(1, len(bounds)):
+        (a, b), (c, _) = bounds[k - 1], bounds[k]
+        if c < b:
+            out[k].insert(0, {"split_id": k - 1, "start": c - a, "end": b - a})
+            out[k - 1].append({"split_id": k, "start": 0, "end": b - c})
+    return out
+
+
 def split_documents(df: DataFrame, by: str, length: int, overlap: int = 0, threshold: int = 0, content: str = "content", source: str = "id", function=None) -> DataFrame:
-    """Chunks of each document: source_id, split_id, content, split_idx_start, page_number and overlap_prev (characters shared with the
-    chunk before). `function` (text to units) replaces the delimiter.
+    """Chunks of each document: source_id, split_id, content, split_idx_start, page_number, overlap_prev (characters shared with the
+    chunk before) and split_overlap. `function` (text to units) replaces the delimiter.
 
-    Empty and null contents give no chunks. Rows are split where they are, in one pass over each text; array expressions
+    split_overlap names the neighbours that share text with a chunk, by split_id, and the range of characters that is shared in
+    the neighbour's content. Where a function drops text between units, starts count the units alone. Empty and null contents give no chunks. Rows are split where they are, in one pass over each text; array expressions
     would build every chunk's offset from the start of its text again.
     """
     window_bounds(1, length, overlap)
-    made = ("source_id", "split_id", "split_idx_start", "page_number", "overlap_prev")
+    made = ("source_id", "split_id", "split_idx_start", "page_number", "overlap_prev", "split_overlap")
     rest = [c for c in df.columns if c not in (content, *made)]
     src = df.where(F.length(content) > 0).select(*rest, F.col(source).alias("source_id"), F.col(content))
     d = DELIMITERS.get(by, "")
@@ -152,7 +166,7 @@ def split_documents(df: DataFrame, by: str, length: int, overlap: int = 0, thres
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
             at: list[int] = []
-            out: dict[str, list] = {k: [] for k in ("split_id", content, "split_idx_start", "page_number", "overlap_prev")}
+            out: dict[str, list] = {k: [] for k in ("split_id", content, "split_idx_start", "page_number", "overlap_prev", "split_overlap")}
             for i, text in enumerate(p[content]):
                 if function is not None:
                     u = function(text)
@@ -163,16 +177,18 @@ def split_documents(df: DataFrame, by: str, length: int, overlap: int = 0, thres
                 for x in u:
                     start.append(start[-1] + len(x))
                 pages, seen, end = 1, 0, 0
-                for k, (a, b) in enumerate(window_bounds(len(u), length, overlap, threshold)):
-                    pages, seen = pages + text.count("\f", seen, start[a]), start[a]
-                    for c, v in zip(out.values(), (k, "".join(u[a:b]), start[a], pages, max(0, end - start[a])), strict=True):
+                bounds = [(start[a], start[b]) for a, b in window_bounds(len(u), length, overlap, threshold)]
+                shared = overlap_ranges(bounds)
+                for k, ((a, b), (lo, hi)) in enumerate(zip(window_bounds(len(u), length, overlap, threshold), bounds, strict=True)):
+                    pages, seen = pages + text.count("\f", seen, lo), lo
+                    for c, v in zip(out.values(), (k, "".join(u[a:b]), lo, pages, max(0, end - lo), shared[k]), strict=True):
                         c.append(v)
-                    end = start[b]
+                    end = hi
                     at.append(i)
             yield pd.concat([p[[*rest, "source_id"]].iloc[at].reset_index(drop=True), pd.DataFrame(out)], axis=1)
 
     kinds = {f.name: f.dataType.simpleString() for f in src.schema.fields}
-    ddl = ", ".join([f"`{c}` {kinds[c]}" for c in [*rest, "source_id"]] + [f"split_id int, `{content}` string, split_idx_start int, page_number int, overlap_prev int"])
+    ddl = ", ".join([f"`{c}` {kinds[c]}" for c in [*rest, "source_id"]] + [f"split_id int, `{content}` string, split_idx_start int, page_number int, overlap_prev int, split_overlap {OVERLAP}"])
     return src.mapInPandas(run, ddl)
 
 

@@ -6,13 +6,14 @@ import csv
 import hashlib
 import io
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.functions.text import window_bounds
+from lexloom.functions.text import OVERLAP, overlap_ranges, window_bounds
 
 ABBREVIATIONS = {"en": "mr mrs ms dr prof st vs etc inc ltd e.g i.e fig no jr sr approx dept est".split(), "de": "z.b d.h u.a bzw ca dr hr fr nr str usw vgl evtl ggf".split()}
 
@@ -65,52 +66,118 @@ def pack_sentences(text: str, length: int, overlap: int = 0, language: str = "en
     return [*chunks, "".join(now)] if now else chunks
 
 
-def recursive_chunks(text: str, length: int, separators: Sequence[str] = ("\n\n", "sentence", "\n", " "), unit: str = "word", overlap: int = 0, size: Callable[[str], int] | None = None) -> list[str]:
-    """Splits by the first separator and packs pieces up to `length`; longer pieces go to the next separator, then to fixed lengths."""
-    count = size or ((lambda s: len(s)) if unit == "char" else (lambda s: len(s.split())))
-
-    def fixed(t: str) -> list[str]:
-        if unit == "char":
-            return [t[i : i + length] for i in range(0, len(t), length)]
-        w = re.findall(r"\s*\S+\s*$|\s*\S+", t)
-        return ["".join(w[i : i + length]) for i in range(0, len(w), length)]
-
-    def split(t: str, seps: Sequence[str]) -> list[str]:
-        if count(t) <= length:
-            return [t] if t else []
-        if not seps:
-            return fixed(t)
-        if seps[0] == "sentence":
-            pieces = sentences(t)
-        else:
-            p = t.split(seps[0])
-            pieces = [x + seps[0] for x in p[:-1]] + p[-1:]
-        out, now = [], ""
-        for x in pieces:
-            if count(x) > length:
-                out += [now] if now else []
-                now = ""
-                out += split(x, seps[1:])
-            elif now and count(now + x) > length:
-                out.append(now)
-                now = x
-            else:
-                now += x
-        return [c for c in [*out, now] if c]
-
-    base = split(text, list(separators))
-    if not overlap:
+def units_of(text: str, unit: str, encode: Callable[[str], list[int]] | None = None, decode: Callable[[list[int]], str] | None = None) -> list[tuple[int, int, int]]:
+    """(start, end, weight) of the words (form feeds are words), characters or tokens of a text. Tokens that end inside a character count with it."""
+    if unit == "word":
+        return [(m.start(), m.end(), 1) for m in re.finditer(r"\f|[^\s]+", text)]
+    if unit == "char":
+        return [(i, i + 1, 1) for i in range(len(text))]
+    out, held, at = [], [], 0
+    for token in encode(text):
+        held.append(token)
+        piece = decode(held)
+        if text.startswith(piece, at):
+            out.append((at, at + len(piece), len(held)))
+            at, held = at + len(piece), []
+    return out
+
+
+def recursive_spans(text: str, length: int, separators: Sequence[str] = ("\n\n", "sentence", "\n", " "), unit: str = "word", overlap: int = 0, size: Callable[[str], int] | None = None, language: str = "en", encode: Callable[[str], list[int]] | None = None, decode: Callable[[list[int]], str] | None = None) -> list[tuple[int, int]]:
+    """Bounds of chunks of at most `length` words, characters or tokens. A text is cut at its first separator and pieces are packed; a longer
+    piece goes to the next separator, at last to fixed lengths.
+
+    With an overlap a chunk begins `overlap` units before the end of the one before, ends where its own packed pieces end, or earlier
+    where it would be too long; what is left begins the next. `size` counts the units of a piece in another way; tokens take
+    encode and decode.
+    """
+    if length < 1 or not 0 <= overlap < length:
+        raise ValueError("the length is at least 1, the overlap at least 0 and less than the length")
+    if not all(isinstance(x, str) for x in separators):
+        raise ValueError("separators are strings")
+    if unit not in ("word", "char", "token") or unit == "token" and (encode is None or decode is None):
+        raise ValueError("units are words, characters, or tokens with functions that encode and decode")
+    count = size or (len if unit == "char" else (lambda t: len(encode(t))) if unit == "token" else lambda t: len(re.findall(r"\f|[^\s]+", t)))
+
+    def fixed(a: int, b: int) -> list[tuple[int, int]]:
+        cuts, held = [a], 0
+        for lo, _, n in units_of(text[a:b], unit, encode, decode):
+            if held and held + n > length:
+                cuts.append(a + lo)
+                held = 0
+            held += n
+        return list(zip(cuts, [*cuts[1:], b], strict=True))
+
+    def pieces(a: int, b: int, separator: str) -> list[tuple[int, int]]:
+        if separator == "sentence":
+            return [(a + x, a + y) for x, y in sentence_spans(text[a:b], language)]
+        ends = [a + m.end() for m in re.finditer(re.escape(separator), text[a:b])]
+        ends += [b] if not ends or ends[-1] < b else []
+        return list(zip([a, *ends[:-1]], ends, strict=True))
+
+    def cut(a: int, b: int, level: int) -> list[tuple[int, int]]:
+        if count(text[a:b]) <= length:
+            return [(a, b)] if a < b else []
+        if level == len(separators):
+            return fixed(a, b)
+        out, begin = [], a
+        for lo, hi in pieces(a, b, separators[level]):
+            if count(text[begin:hi]) <= length:
+                continue  # goes on with what is packed
+            if begin < lo:
+                out.append((begin, lo))
+            begin = lo
+            if count(text[lo:hi]) > length:
+                out += cut(lo, hi, level + 1)
+                begin = hi
+        return [*out, (begin, b)] if begin < b else out
+
+    base = cut(0, len(text), 0)
+    if not overlap or len(base) < 2:
         return base
-    out = []
-    for i, c in enumerate(base):
-        if i:
-            prev = base[i - 1]
-            tail = prev[-overlap:] if unit == "char" else "".join(re.findall(r"\s*\S+\s*$|\S+\s*", prev)[-overlap:])
-            c = tail + c
-        out.append(c)
+    units = units_of(text, unit, encode, decode)
+    starts, total = [u[0] for u in units], [0]
+    for _, _, n in units:
+        total.append(total[-1] + n)
+    ends = [bisect_left(starts, b) for _, b in base]  # units before the end of each packed chunk
+    out, first, last, k = [base[0]], 0, ends[0], 0
+    while last < len(units):
+        k = min(k + 1, len(base) - 1)
+        first = max(first, bisect_left(total, total[last] - overlap))
+        end = min(ends[k], bisect_right(total, total[first] + length) - 1)
+        if end <= last:  # a unit of several tokens may be longer than the rest
+            first, end = last, last + 1
+        at_end = end == len(units) or end in ends[: k + 1]
+        out.append((starts[first], base[ends.index(end)][1] if at_end and end in ends else units[end - 1][1]))
+        last = end
     return out
 
 
+def recursive_chunks(text: str, length: int, separators: Sequence[str] = ("\n\n", "sentence", "\n", " "), unit: str = "word", overlap: int = 0, **options) -> list[str]:
+    """The texts of recursive_spans."""
+    return [text[a:b] for a, b in recursive_spans(text, length, separators, unit, overlap, **options)]
+
+
+def split_recursively(df: DataFrame, length: int, content: str = "content", source: str = "id", **options) -> DataFrame:
+    """Chunks of recursive_spans: source_id, split_id, content, split_idx_start, page_number and split_overlap, in one pass over each text.
+
+    A chunk stands on the page of its last character, form feeds at its end left aside. Empty and null contents give no chunks.
+    """
+    recursive_spans("", length, **options)
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in parts:
+            rows = []
+            for s, t in zip(p["s"], p["t"], strict=True):
+                spans = recursive_spans(t, length, **options)
+                for i, ((a, b), near) in enumerate(zip(spans, overlap_ranges(spans), strict=True)):
+                    c = t[a:b]
+                    rows.append((s, i, c, a, 1 + t.count("\f", 0, a + len(c.rstrip("\f"))), near))
+            yield pd.DataFrame(rows, columns=["source_id", "split_id", content, "split_idx_start", "page_number", "split_overlap"])
+
+    src = df.where(F.length(content) > 0).select(F.col(source).alias("s"), F.col(content).alias("t"))
+    return src.mapInPandas(run, f"source_id {src.schema['s'].dataType.simpleString()}, split_id int, `{content}` string, split_idx_start int, page_number int, split_overlap {OVERLAP}")
+
+
 def explode_chunks(df: DataFrame, function: Callable[[str], list[str]], content: str = "content", source: str = "id") -> DataFrame:
     """source_id, split_id and content of the chunks that a function makes of each text."""
 

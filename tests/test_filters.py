@@ -53,6 +53,17 @@ def test_pushed_to_the_scan(spark):
     assert "GreaterThan(n_chars,5)" in plan and "EqualNullSafe(lang,en)" in plan or "EqualTo(lang,en)" in plan
 
 
+def test_dates_are_pushed_to_the_scan(spark):
+    spec = {"operator": "AND", "conditions": [c("o_orderdate", ">=", "1995-03-01"), c("o_orderdate", "<", "1995-06-01T00:00:00")]}
+    df = apply_filter(spark.read.parquet("/root/testdata/sf0.001/orders.parquet"), spec)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(o_orderdate" in plan and "LessThan(o_orderdate" in plan
+    rows = spark.sql("SELECT DATE'2024-01-02' AS d, TIMESTAMP'2024-01-02 10:00:00' AS t, '2024-01-02' AS s, TIMESTAMP_NTZ'2024-01-02 10:00:00' AS n")
+    for field in "dtsn":
+        assert apply_filter(rows, c(field, ">", "2024-01-01T23:00:00")).count() == 1 and apply_filter(rows, c(field, ">", "2024-01-03")).count() == 0
+    assert apply_filter(rows, c("n", "<", "2024-01-02T12:00:00+01:00")).count() == 0 == apply_filter(rows, c("t", "<", "2024-01-02T10:00:00+00:00")).count()
+
+
 def test_merge():
     a, b = c("x", "==", 1), c("y", "==", 2)
     assert merge_filters("replace", a, b) == b and merge_filters("replace", a, None) == a

@@ -42,6 +42,8 @@ def test_split(spark):
     assert len(got) == 2 and got[1].content.startswith("second sentence.") and text[got[1].split_idx_start :] == got[1].content
     over = X.split_documents(df, "word", 10, 2).orderBy("split_id").collect()
     assert over[1].overlap_prev > 0 and "".join([over[0].content, *[c.content[c.overlap_prev :] for c in over[1:]]]) == text
+    ranges = [[(x.split_id, x.start, x.end) for x in r.split_overlap] for r in over]
+    assert ranges == [[(1, 0, 5)], [(0, 38, 43)]] and over[0].content[38:43] == over[1].content[:5] == "is a "
     assert [r.page_number for r in X.split_documents(spark.createDataFrame([("d", "a\fb\fc")], "id string, content string"), "page", 1).orderBy("split_id").collect()] == [1, 2, 3]
     assert X.split_documents(df, "word", 10, threshold=9).count() == 1
     assert X.split_documents(df, "own", 1, function=lambda t: t.split(".")).count() == 4
@@ -61,8 +63,50 @@ def test_recursive():
     got = chunk.recursive_chunks(t, 10)
     assert "".join(got) == t and all(len(x.split()) <= 10 for x in got)
     assert "".join(chunk.recursive_chunks("x" * 25, 10, unit="char")) == "x" * 25
-    over = chunk.recursive_chunks(t, 10, overlap=2)
-    assert len(over) == len(got) and over[1] != got[1]
+    over = chunk.recursive_chunks(" ".join(f"w{i}" for i in range(50)), 10, overlap=4)
+    assert [len(x.split()) for x in over] == [10] * 7 + [8] and over[1].startswith("w6 w7 w8 w9 w10")
+
+
+def test_recursive_overlap():
+    t = "A simple sentence1. A bright sentence2. A clever sentence3"
+    got = chunk.recursive_chunks(t, 3, ["."], overlap=2)
+    assert got == ["A simple sentence1.", "simple sentence1. A", "sentence1. A bright", "A bright sentence2.", "bright sentence2. A", "sentence2. A clever", "A clever sentence3"]
+    got = chunk.recursive_chunks(t, 20, ["."], "char", 15)
+    assert got[:3] == ["A simple sentence1.", "mple sentence1. A br", "sentence1. A bright "] and len(got) == 9 and got[-1] == " A clever sentence3"
+    spans = chunk.recursive_spans(t, 20, ["."], "char", 15)
+    assert X.overlap_ranges(spans)[1] == [{"split_id": 0, "start": 4, "end": 19}, {"split_id": 2, "start": 0, "end": 15}]
+    assert chunk.recursive_chunks("This is a test.\n\n\nAnother test.\n\n\n\nFinal test.", 18, ["\n\n", "\n"], "char") == ["This is a test.\n\n", "\nAnother test.\n\n\n\n", "Final test."]
+    for length, overlap in ((0, 0), (-1, 0), (10, -1), (10, 10), (10, 15)):
+        with pytest.raises(ValueError):
+            chunk.recursive_chunks(t, length, overlap=overlap)
+    with pytest.raises(ValueError):
+        chunk.recursive_chunks(t, 5, [".", 2])
+    with pytest.raises(ValueError):
+        chunk.recursive_chunks(t, 5, unit="token")
+
+
+def test_recursive_tokens():
+    coded = {"encode": lambda t: [b for b in t.encode()], "decode": lambda ids: bytes(ids).decode("utf-8", "replace")}
+    got = chunk.recursive_chunks("ab cdé fg", 4, [" "], "token", **coded)
+    assert "".join(got) == "ab cdé fg" and all(len(x.encode()) <= 4 for x in got)
+    over = chunk.recursive_chunks("abcdefghij", 4, [], "token", 2, **coded)
+    assert over == ["abcd", "cdef", "efgh", "ghij"]
+
+
+def test_recursive_documents(spark):
+    t = "This is some text. \f This text is on another page. \f This is the last pag3."
+    df = spark.createDataFrame([(1, t), (2, ""), (3, None)], "id long, content string")
+    rows = chunk.split_recursively(df, 19, separators=[" "], unit="char").orderBy("split_id").collect()
+    assert [r.page_number for r in rows] == [1, 2, 3, 3, 3] and all(t[r.split_idx_start :].startswith(r.content) for r in rows)
+
+
+def test_headers_and_footers():
+    inner = "This is a header.\n        Page  of\n        {}\n        4\n        {}\n        This is a footer number 1\n        This is footer number 2"
+    text = "\f".join(["First Page", "", inner.format(2, "Lorem ipsum dolor sit amet"), inner.format(3, "Sid ut perspiciatis unde"), inner.format(4, "Sed do eiusmod tempor.")])
+    left = " {}\n        4\n        {}"
+    assert X.without_edges(text) == "\f".join(["First Page", "", left.format(2, "Lorem ipsum dolor sit amet"), left.format(3, "Sid ut perspiciatis unde"), left.format(4, "Sed do eiusmod tempor.")])
+    assert X.without_edges("no pages here at all") == "no pages here at all"
+    assert X.without_edges("a\fb\fc") == "a\fb\fc"
 
 
 def test_hierarchy(spark):
