@@ -156,17 +156,6 @@ def write_overwrite(s, d):
     return store.upsert(*_two(s, d), "overwrite")
 
 
-@query("SELECT doc_id AS id, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)")
-def delete_documents(s, d):
-    docs = t(s, d, "documents").select(F.col("doc_id").alias("id"), "lang")
-    return docs.join(t(s, d, "labels").where("toxic = 1").select(F.col("doc_id").alias("id")), "id", "left_anti")
-
-
-@query("SELECT lang, CAST(count(*) AS BIGINT) AS n FROM documents GROUP BY lang")
-def count_documents(s, d):
-    return t(s, d, "documents").groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-
-
 # ---- BM25 ----------------------------------------------------------------------------------------------------------------------
 
 TOK = "regexp_extract_all(lower({}), '[\\p{{L}}\\p{{N}}_]{{2,}}')"
@@ -188,7 +177,7 @@ def avg_doc_len(s, d):
 
 
 def index(s, d) -> retrieve.Bm25Index:
-    return retrieve.Bm25Index(t(s, d, "documents"), "doc_id", "text")
+    return retrieve.Bm25Index.stored(t(s, d, "documents"), "doc_id", "text")
 
 
 def texts(s, d) -> DataFrame:

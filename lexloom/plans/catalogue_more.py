@@ -45,22 +45,11 @@ def hierarchy_merge(s, d):
     return retrieve.auto_merge(hits, nodes.drop("content"))
 
 
-@query()
-def csv_split(s, d):
-    rows = F.concat(F.lit("a,b,,,c\n"), F.translate("content", ",\n\"", "   "), F.lit(",2,,,3\n,,,,\n,,,,\nx,y,,,z\n"))
-    return chunk.explode_chunks(_docs(s, d).withColumn("content", rows), lambda x: [c for _, _, c in chunk.split_csv(x)])
-
-
 @query()
 def html_to_text(s, d):
     return t(s, d, "pages").select("page_id", files.html_to_text(F.col("html")).alias("content"))
 
 
-@query("SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, CAST(len(regexp_extract_all(html, '<p[ >]')) AS BIGINT) AS paragraphs FROM pages")
-def html_fields(s, d):
-    return t(s, d, "pages").select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"), F.regexp_count("html", F.lit("<p[ >]")).cast("long").alias("paragraphs"))
-
-
 @query()
 def ner_regex(s, d):
     return models.named_entities(_docs(s, d)).select("id", F.size("named_entities").alias("n"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 from typing import Any
 
 from lexloom.errors import PipelineError
-from lexloom.plans.pipeline import Component, Variadic, component
+from lexloom.plans.pipeline import Component, Greedy, Variadic, component
 
 
 @component(value=int)
@@ -18,6 +18,14 @@ class AddFixedValue:
         return {"value": value + (self.add if add is None else add)}
 
 
+@component(value=int)
+class FirstValue:
+    """Passes on the value of whichever sender delivers, as a loop's entry."""
+
+    def run(self, value: Greedy[int]) -> dict:
+        return {"value": value[0]}
+
+
 @component(total=int)
 class Sum:
     def run(self, values: Variadic[int]) -> dict:

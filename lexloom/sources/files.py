@@ -30,11 +30,17 @@ def read_binary(spark: SparkSession, path: str | Sequence[str], glob: str | None
     return (r.option("pathGlobFilter", glob) if glob else r).load(path)
 
 
-def read_text(spark: SparkSession, path: str | Sequence[str], encoding: str = "utf-8", store_full_path: bool = False) -> DataFrame:
-    """Whole files as content; a column `encoding` of decoded rows overrides the default. Decoded by Spark itself."""
-    raw = read_binary(spark, path)
+def decode_rows(raw: DataFrame, encoding: str = "utf-8", store_full_path: bool = False) -> DataFrame:
+    """binaryFile rows with their bytes as text. A column `encoding` names the encoding of a row; where it is null or missing the default holds."""
     name = F.col("path") if store_full_path else F.regexp_extract("path", "([^/]*)$", 1)
-    return raw.select(name.alias("file_path"), F.decode("content", encoding).alias("content"))
+    how = F.coalesce(F.col("encoding"), F.lit(encoding)) if "encoding" in raw.columns else F.lit(encoding)
+    rest = [c for c in raw.columns if c not in ("path", "content", "encoding", "length", "modificationTime")]
+    return raw.select(name.alias("file_path"), F.call_function("decode", F.col("content"), how).alias("content"), *rest)
+
+
+def read_text(spark: SparkSession, path: str | Sequence[str], encoding: str = "utf-8", store_full_path: bool = False) -> DataFrame:
+    """Whole files as content, decoded by Spark itself. Files of several encodings: `decode_rows` over read_binary."""
+    return decode_rows(read_binary(spark, path), encoding, store_full_path)
 
 
 def convert(raw: DataFrame, function: Callable[[bytes, str], list[tuple[str, dict]]], store_full_path: bool = False) -> DataFrame:

@@ -29,7 +29,18 @@ class LoggedSpan:
         self.tags[key] = value
 
 
-_current: ContextVar[LoggedSpan | None] = ContextVar("lexloom_span", default=None)
+class _Current:
+    """The span that is open; code that travels to a task finds none there."""
+
+    def __init__(self):
+        self.var: ContextVar[LoggedSpan | None] = ContextVar("lexloom_span", default=None)
+        self.get, self.set, self.reset = self.var.get, self.var.set, self.var.reset
+
+    def __reduce__(self):
+        return _Current, ()
+
+
+_current = _Current()
 
 
 class LoggingTracer:
