@@ -1,13 +1,16 @@
 """Operator 9: exact substring deduplication by bucket-pointer refinement.
 
-Positions of the corpus are put in buckets by the q bytes that follow them. A bucket of one position is finished, as is one
-whose positions agree on everything that matters; any other is refined on the identifiers of buckets at other offsets.
-Identifiers are 64-bit fingerprints (two where they stand alone) instead of ranks in a suffix array, so that a bucket needs no order
-among tasks, and each refinement reuses the identifiers and buckets of the last.
-
-Only positions that the text itself selects enter: of each `least - q + 1` neighbouring q-grams the one of least
-fingerprint. Each string of `least` bytes holds such an anchor, at the same offset wherever the string stands, so two equal
-strings always meet in an anchor's bucket. For an anchor, offset d stands for the string that begins d bytes before it.
+Each position of a text points to the bucket of the q bytes that follow it: its initial pointer is the code of that q-gram. An open
+bucket, one of several positions that don't agree on everything that matters, is refined by sorting its positions on
+(pointer to the bucket so far, pointers of q-grams at the offsets where the refined bucket begins and ends), and the refined
+pointers are written for the next level, which refines them in the same way. A bucket of one position is finished, as is one
+whose positions all agree. Pointers are numbers drawn from content (two of 64 bits where they stand alone) instead of ranks in
+a suffix array: equality is all that deduplication asks of them, and no order among buckets has to be agreed on by tasks.
+
+Only positions that the text itself selects are refined: of each `least - q + 1` neighbouring q-grams the one of least
+code. Each string of `least` bytes holds such an anchor, at the same offset wherever the string stands, so two equal
+strings always meet in an anchor's bucket. For an anchor, offset d stands for the string that begins d bytes before it, so
+that one refined bucket stands for a range of strings, and a level halves the ranges two or six times.
 """
 
 from __future__ import annotations
@@ -25,6 +28,8 @@ from lexloom.llm.common import Scratch, text_key
 CHUNK = 2_000_000
 #: Offsets that a bucket of each level of refinement spans.
 STEPS = (64, 16, 4, 1)
+#: Odd factors that keep the two halves of a pointer independent.
+ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 
 def pack(texts: DataFrame, column: str, names: list[str]) -> DataFrame:
@@ -47,10 +52,15 @@ def unpack(z: bytes, size: int) -> bytes:
     return pa.Codec("zstd").decompress(z, decompressed_size=size, asbytes=True) if size else b""
 
 
+def pointers(data: np.ndarray, q: int, roll: Rolling) -> np.ndarray:
+    """Initial bucket pointers: the code of the q-gram at each position."""
+    return mix(roll.feed(data).runs(q)) >> np.uint64(1)
+
+
 def find_anchors(data: np.ndarray, off: np.ndarray, least: int, q: int, roll: Rolling) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of the anchors in texts laid end to end, and fingerprints of their q-grams."""
+    """Positions of the anchors in texts laid end to end, and their initial pointers."""
     w = least - q + 1
-    h = mix(roll.feed(data).runs(q)) >> np.uint64(1)
+    h = pointers(data, q, roll)
     if not len(h):
         return np.zeros(0, np.int64), h
     end = np.repeat(off[1:], np.diff(off))[: len(h)]
@@ -78,6 +88,8 @@ def dedup_substrings(docs: DataFrame, least: int = 200, q: int = 73, text: str =
     w = least - q + 1
     if w < STEPS[0] or w % STEPS[0]:
         raise ValueError(f"least - q + 1 must be a multiple of {STEPS[0]}")
+    if q < max([w, *STEPS][i] - s for i, s in enumerate(STEPS)) or q < STEPS[0]:
+        raise ValueError("q is too short to reach from a range to its parts")
     tmp = Scratch(docs.sparkSession, "suffixes")
     a, b = text_key(text)
     t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
@@ -107,13 +119,15 @@ def dedup_substrings(docs: DataFrame, least: int = 200, q: int = 73, text: str =
 
     def settle(rows: DataFrame, step: int, label: str) -> tuple[DataFrame, DataFrame]:
         """One level of buckets. rows: a position with offsets k * step to k * step + step - 1, standing for n positions (2: or more),
-        c1 and c2, the bucket of the bytes that all strings at these offsets hold, and u, that of the bytes that any of them holds.
+        c1 and c2, the pointer to the bucket of the bytes that all strings at these offsets hold, and u, that of the bytes that any of them holds.
 
         A bucket c of one position is finished: none of its strings is repeated. One of a single u is finished too: all are. In
-        any other, the positions of a repeated u are finished, and one position of each u goes on to the next level.
+        any other, the positions of a repeated u are finished, and one position of each u goes on to the next level with its pointer.
         """
         c = ["c1", "c2"]
         sums = rows.groupBy(*c).agg(F.sum("n").alias("m"), (F.min("u") != F.max("u")).alias("mixed")).where("m > 1").drop("m")
+        # Written, so that Spark deals out the rows of one very frequent bucket to several tasks of the join.
+        sums = tmp.keep(sums, f"sums{label}")
         live = tmp.keep(rows.join(sums, c), f"live{label}")
         split = live.where("mixed")
         kinds = split.groupBy(*c, "u").agg(F.sum("n").alias("n"), F.min(F.struct("t1", "t2", "pos", "k")).alias("r"))
@@ -122,9 +136,9 @@ def dedup_substrings(docs: DataFrame, least: int = 200, q: int = 73, text: str =
         at = F.col("pos") - F.col("k") * step
         span = ["t1", "t2", (at - (step - 1)).alias("lo"), (at + least).alias("hi")]
         done = tmp.keep(live.where("not mixed").select(*span).unionByName(same.select(*span)).distinct(), f"done{label}")
-        tmp.drop(live)
+        tmp.drop(live, sums)
         tmp.release()
-        return done, kinds.select("t1", "t2", "pos", "k", "n")
+        return done, kinds.select("t1", "t2", "pos", "k", "n", *c)
 
     first = found.select("t1", "t2", "pos", F.lit(0).alias("k"), F.lit(1).alias("n"), F.col("c").alias("c1"), F.lit(0).cast("long").alias("c2"), "u")
     done, kinds = settle(first, w, "")
@@ -155,13 +169,17 @@ def dedup_substrings(docs: DataFrame, least: int = 200, q: int = 73, text: str =
     tmp.release()
 
     def refine(step: int, per: int):
-        """Rows of the next level: each offset range of the last, cut into `per` of `step` offsets."""
+        """Rows of the next level: each offset range of the last, cut into `per` of `step` offsets, with refined pointers.
+
+        What the strings of a part share begins and ends at most q - 1 bytes beyond what those of the whole range share, so the
+        range's pointer and those of the first and last q-gram name it. What any of them holds reaches at most `step` bytes further.
+        """
 
         def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            rolls = [Rolling(s) for s in (3, 4, 5)]
+            roll = Rolling(1)
             for p in parts:
                 for s in slices(p, "bytes", CHUNK // 2):
-                    t1, t2, pos, left, k, n = (s.column(i).to_numpy() for i in (0, 1, 2, 3, 5, 6))
+                    t1, t2, pos, left, k, n, b1, b2 = (s.column(i).to_numpy() for i in (0, 1, 2, 3, 5, 6, 7, 8))
                     data, off = view(s.column(4))
                     row, k = np.repeat(np.arange(len(s)), per), np.repeat(k.astype(np.int64) * per, per) + np.tile(np.arange(per), len(s))
                     anchor, first, last = off[row] + left[row], off[row], off[row + 1]
@@ -170,13 +188,13 @@ def dedup_substrings(docs: DataFrame, least: int = 200, q: int = 73, text: str =
                     ok = (c0 >= first) & (c1 <= last)
                     row, k, c0, c1, first, last = (x[ok] for x in (row, k, c0, c1, first, last))
                     u0, u1 = c0 - (step - 1), c1 + (step - 1)
-                    for r in rolls:
-                        r.feed(data)
-                    tag = np.uint64(0x9E3779B97F4A7C15) * (k + 1).astype(np.uint64)
-                    c_1, c_2 = mix(rolls[0](c0, c1) + tag), mix(rolls[1](c0, c1) ^ tag)
+                    at = pointers(data, q, roll)
+                    place = mix(k.astype(np.uint64))  # the range's pointer counts at its place in the part
+                    near = [b1[row].view(np.uint64), b2[row].view(np.uint64)]
+                    c_1, c_2 = (mix(mix(b + place ^ at[c0] * np.uint64(odd)) + at[c1 - q]) for b, odd in zip(near, ODD, strict=True))
                     # Ranges over the edge of a text have no equal but in copies of that text.
-                    own = mix(t1[row].view(np.uint64) ^ mix(t2[row].view(np.uint64) + pos[row].astype(np.uint64)) ^ tag)
-                    whole = np.where((u0 < first) | (u1 > last), own, mix(rolls[2](np.maximum(u0, first), np.minimum(u1, last)) + tag))
+                    own = mix(t1[row].view(np.uint64) ^ mix(t2[row].view(np.uint64) + pos[row].astype(np.uint64)) ^ place)
+                    whole = np.where((u0 < first) | (u1 > last), own, mix(mix(c_1 ^ at[np.maximum(u0, first)]) + at[np.minimum(u1, last) - q]))
                     cols = (t1[row], t2[row], pos[row], k.astype(np.int32), n[row], c_1.view(np.int64), c_2.view(np.int64), whole.view(np.int64))
                     yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=["t1", "t2", "pos", "k", "n", "c1", "c2", "u"])
 
@@ -185,7 +203,7 @@ def dedup_substrings(docs: DataFrame, least: int = 200, q: int = 73, text: str =
     schema = "t1 bigint, t2 bigint, pos int, k int, n int, c1 bigint, c2 bigint, u bigint"
     before = w
     for step in STEPS:
-        cut = ctx.join(kinds, key).select(*key, "left", "bytes", "k", "n")
+        cut = ctx.join(kinds, key).select(*key, "left", "bytes", "k", "n", "c1", "c2")
         rows = tmp.keep(cut.mapInArrow(refine(step, before // step), schema), f"rows{step}")
         more, kinds = settle(rows, step, str(step))
         done = done.unionByName(more)
