@@ -3,20 +3,23 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _VAR = re.compile(r"\{\{\s*([\w.]+)\s*\}\}")
+_READ = re.compile(r"\{\{\s*([\w.]+)[^}]*\}\}")
+#: Filters that any template knows; a call may bring others.
+FILTERS: dict[str, Callable] = {"upper": lambda x: str(x).upper(), "lower": lambda x: str(x).lower(), "trim": lambda x: str(x).strip(), "length": lambda x: len(x or ()), "first": lambda x: x[0] if x else None, "last": lambda x: x[-1] if x else None, "join": lambda x: "".join(map(str, x or ()))}
 _TAG = re.compile(r"\{%-?\s*(.*?)\s*-?%\}|\{\{\s*(.*?)\s*\}\}", re.S)
 
 
 def template_variables(template: str) -> list[str]:
     """Names that a template reads, loop variables left out."""
     bound = set(re.findall(r"\{%-?\s*for\s+(\w+)\s+in", template))
-    names = _VAR.findall(template) + re.findall(r"\{%-?\s*(?:for\s+\w+\s+in|if|elif)\s+(?:not\s+)?([\w.]+)", template)
+    names = _READ.findall(template) + re.findall(r"\{%-?\s*(?:for\s+\w+\s+in|if|elif)\s+(?:not\s+)?([\w.]+)", template)
     return sorted({n.split(".")[0] for n in names} - bound)
 
 
@@ -34,9 +37,12 @@ def prompt(template: str, columns: Sequence[str], required: Sequence[str] = (),
     return F.concat(*parts, F.lit(template[at:]))
 
 
-def render(template: str, values: dict) -> str:
-    """A template with {{ a.b }}, {% for x in xs %} ... {% endfor %} and {% if a %} ... {% else %} ... {% endif %}."""
-    tokens, at = [], 0
+def render(template: str, values: dict, filters: Mapping[str, Callable] | None = None) -> str:
+    """A template with {{ a.b | filter }}, {% for x in xs %} ... {% endfor %} and {% if a %} ... {% else %} ... {% endif %}.
+
+    Filters are functions of one value, applied from left to right; an unknown one is an error.
+    """
+    tokens, at, known = [], 0, {**FILTERS, **(filters or {})}
     for m in _TAG.finditer(template):
         tokens += [("text", template[at : m.start()]), ("tag", m[1]) if m[1] is not None else ("out", m[2])]
         at = m.end()
@@ -57,7 +63,12 @@ def render(template: str, values: dict) -> str:
             if kind == "text" and live:
                 out.append(x)
             elif kind == "out" and live:
-                v = get(x, scope)
+                path, *then = [part.strip() for part in x.split("|")]
+                v = get(path, scope)
+                for f in then:
+                    if f not in known:
+                        raise ValueError(f"unknown filter {f!r}")
+                    v = known[f](v)
                 out.append("" if v is None else str(v))
             elif kind == "tag":
                 word = x.split()[0]
@@ -86,7 +97,7 @@ def render(template: str, values: dict) -> str:
     return block(0, values, True, ())[0]
 
 
-def prompt_rows(df: DataFrame, template: str, output: str = "prompt", required: Sequence[str] = ()) -> DataFrame:
+def prompt_rows(df: DataFrame, template: str, output: str = "prompt", required: Sequence[str] = (), filters: Mapping[str, Callable] | None = None) -> DataFrame:
     """Renders a template with loops and conditions for each row, in Arrow batches; columns are the variables."""
     names = [c for c in template_variables(template) if c in df.columns]
     lost = set(required) - set(df.columns)
@@ -95,7 +106,7 @@ def prompt_rows(df: DataFrame, template: str, output: str = "prompt", required:
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
-            yield p.assign(**{output: [render(template, _plain(r)) for r in p[names].to_dict("records")]})
+            yield p.assign(**{output: [render(template, _plain(r), filters) for r in p[names].to_dict("records")]})
 
     ddl = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name != output] + [f"`{output}` string"])
     return df.drop(output).mapInPandas(run, ddl)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from typing import Any, Protocol
 
 import numpy as np
@@ -134,20 +134,41 @@ def service_embedder(url: str, api_key: str | Secret, model: str, transport=None
     return factory
 
 
-def chat_service(url: str, api_key: str | Secret, model: str, transport=None, on_chunk: Callable[[str], None] | None = None, **options: Any) -> Factory:
-    """A chat service of the common wire format. Batches are lists of message lists."""
+def token_usage(df: DataFrame, usage: str = "usage", by: Sequence[str] = ("model",)) -> DataFrame:
+    """Sums of prompt, completion and total tokens over the JSON that services report of their calls; what is missing counts as 0."""
+    n = lambda k: F.coalesce(F.sum(F.get_json_object(usage, f"$.{k}").cast("long")), F.lit(0)).alias(k)
+    return df.groupBy(*by).agg(*[n(k) for k in ("prompt_tokens", "completion_tokens", "total_tokens")])
+
+
+def event_lines(lines: Iterable[bytes]) -> Iterator[dict]:
+    """The objects of a stream of server-sent events, up to its end mark."""
+    for line in lines:
+        kind, _, data = line.decode("utf-8", "replace").strip().partition(":")
+        if kind == "data" and data.strip() and data.strip() != "[DONE]":
+            yield json.loads(data)
+
+
+def chat_service(url: str, api_key: str | Secret, model: str, transport=None, on_chunk: Callable[[str], None] | None = None, lines=None, **options: Any) -> Factory:
+    """A chat service of the common wire format. Batches are lists of message lists.
+
+    With on_chunk the reply is asked for as a stream, and on_chunk gets each piece of text as it arrives. `lines` (url, headers, body) gives
+    the lines of a streamed answer; by default they are read from the connection.
+    """
 
     def factory():
-        from lexloom.sources.web import http, request
+        from lexloom.sources.web import http, http_lines, request
 
         def one(messages: list[dict], tools: list[dict] | None = None):
             body = {"model": model, "messages": messages, **options} | ({"tools": [{"type": "function", "function": t} for t in tools]} if tools else {})
-            status, _, data = request(transport or http, url, "POST", {"Authorization": f"Bearer {value_of(api_key)}", "api-key": value_of(api_key), "Content-Type": "application/json"}, json.dumps(body).encode())
+            headers = {"Authorization": f"Bearer {value_of(api_key)}", "api-key": value_of(api_key), "Content-Type": "application/json"}
+            if on_chunk:
+                got = stream_text(event_lines((lines or http_lines)(url, headers, json.dumps(body | {"stream": True}).encode())), on_chunk)
+                calls = [{**c, "arguments": json.loads(c["arguments"] or "{}")} for c in got["tool_calls"]]
+                return {"text": got["text"] or None, "tool_calls": calls} if calls else got["text"]
+            status, _, data = request(transport or http, url, "POST", headers, json.dumps(body).encode())
             if status >= 400:
                 raise OSError(f"the chat service answers {status}")
             m = json.loads(data)["choices"][0]["message"]
-            if on_chunk and m.get("content"):
-                on_chunk(m["content"])
             calls = [{"id": c.get("id"), "tool_name": c["function"]["name"], "arguments": json.loads(c["function"]["arguments"] or "{}")} for c in m.get("tool_calls") or []]
             return {"text": m.get("content"), "tool_calls": calls} if calls else m.get("content")
 
@@ -160,6 +181,8 @@ def stream_text(chunks: Iterator[dict], on_chunk: Callable[[str], None] | None =
     """Joins the deltas of a streamed reply: text, and tool calls whose arguments come in pieces."""
     text, calls = [], {}
     for c in chunks:
+        if "choices" in c and not c["choices"]:
+            continue  # usage alone
         d = c["choices"][0]["delta"] if "choices" in c else c
         if d.get("content"):
             text.append(d["content"])

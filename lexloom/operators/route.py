@@ -8,6 +8,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexloom.errors import PipelineError
+
 from lexloom.functions.filters import compile_filter, resolver, validate
 from lexloom.functions.text import mime_type
 
@@ -37,10 +39,16 @@ def file_type_route(df: DataFrame, patterns: Sequence[str], path: str = "path")
     return df.withColumns({"mime_type": mime, "route": route})
 
 
-def conditional_route(df: DataFrame, routes: Sequence[tuple[str, str, str]]) -> DataFrame:
-    """routes: (SQL condition, SQL output, name), the first that is true counts. A row that none takes is an error when read."""
+def conditional_route(df: DataFrame, routes: Sequence[tuple[str, ...]]) -> DataFrame:
+    """routes: (SQL condition, SQL output, name) or (condition, output, name, type); the first that is true counts. A row that none takes is an error when read.
+
+    An output whose type is not the stated one raises PipelineError before anything runs. Conditions and outputs may call any function
+    that is registered with the session, which is how custom filters are given.
+    """
     name, out = F.raise_error(F.lit("no route matched")).cast("string"), F.lit(None).cast("string")
-    for cond, expr, n in reversed(routes):
+    for cond, expr, n, *kind in reversed(routes):
+        if kind and (found := df.select(F.expr(expr).alias("x")).schema["x"].dataType.simpleString()) != kind[0]:
+            raise PipelineError(f"the output of route {n!r} is {found}, not {kind[0]}")
         hit = F.coalesce(F.expr(cond), F.lit(False))
         name, out = F.when(hit, F.lit(n)).otherwise(name), F.when(hit, F.expr(expr).cast("string")).otherwise(out)
     return df.withColumns({"route": name, "output": out})

@@ -251,15 +251,15 @@ _vector("vector_cosine_scaled", "cosine", True)
 
 
 def lists(s, d) -> DataFrame:
-    """Two lists for each language, by length and, of what has a label, by id; some scores are missing or zero."""
+    """Two lists for every 100 documents, by length and, of what has a label, by id; some scores are missing or zero."""
     docs = t(s, d, "documents").select(F.col("doc_id").alias("id"), "lang", "n_chars")
-    qid = F.array_position(F.array(*[F.lit(x) for x in ("de", "en", "es", "fr")]), F.col("lang")).alias("query_id")
-    a = docs.select(qid, "id", (F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n_chars"), "id")) - 1).cast("long").alias("rank"), F.when(F.col("id") % 11 != 0, F.col("n_chars") / 1000.0).alias("score"))
-    b = docs.join(t(s, d, "labels").select(F.col("doc_id").alias("id")), "id", "left_semi").select(qid, "id", (F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("id"))) - 1).cast("long").alias("rank"), (F.col("id") % 17 / 4.0).alias("score"))
+    qid = F.expr("id div 100").alias("query_id")
+    a = docs.select(qid, "id", (F.row_number().over(Window.partitionBy(F.expr("id div 100")).orderBy(F.desc("n_chars"), "id")) - 1).cast("long").alias("rank"), F.when(F.col("id") % 11 != 0, F.col("n_chars") / 1000.0).alias("score"))
+    b = docs.join(t(s, d, "labels").select(F.col("doc_id").alias("id")), "id", "left_semi").select(qid, "id", (F.row_number().over(Window.partitionBy(F.expr("id div 100")).orderBy(F.desc("id"))) - 1).cast("long").alias("rank"), (F.col("id") % 17 / 4.0).alias("score"))
     return fuse.as_lists(a, b)
 
 
-LISTS = """WITH q AS (SELECT doc_id AS id, n_chars, CAST(CASE lang WHEN 'de' THEN 1 WHEN 'en' THEN 2 WHEN 'es' THEN 3 WHEN 'fr' THEN 4 END AS BIGINT) AS query_id FROM documents),
+LISTS = """WITH q AS (SELECT doc_id AS id, n_chars, doc_id // 100 AS query_id FROM documents),
   a AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY n_chars DESC, id) - 1 AS rank, CASE WHEN id % 11 <> 0 THEN n_chars / 1000.0 END::DOUBLE AS score FROM q),
   b AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY id DESC) - 1 AS rank, (id % 17 / 4.0)::DOUBLE AS score FROM q WHERE id IN (SELECT doc_id FROM labels)),
   l AS (SELECT *, 0 AS list_idx FROM a UNION ALL SELECT *, 1 FROM b) """
@@ -290,11 +290,11 @@ def answer_join(s, d):
 
 
 def ranked(s, d) -> DataFrame:
-    docs = t(s, d, "documents").select(F.col("doc_id").alias("id"), "lang", "source", "n_chars", "text", (F.col("doc_id") % 7).alias("query_id"), F.when(F.col("doc_id") % 5 != 0, F.col("n_chars")).alias("rating"), (F.col("doc_id") % 10 / 10.0).alias("score"))
+    docs = t(s, d, "documents").select(F.col("doc_id").alias("id"), "lang", "source", "n_chars", "text", F.expr("doc_id div 100").alias("query_id"), F.when(F.col("doc_id") % 5 != 0, F.col("n_chars")).alias("rating"), (F.col("doc_id") % 10 / 10.0).alias("score"))
     return docs.withColumn("rank", (F.row_number().over(Window.partitionBy("query_id").orderBy("id")) - 1).cast("long"))
 
 
-RANKED = "WITH k AS (SELECT doc_id AS id, lang, source, n_chars, text, doc_id % 7 AS query_id, CASE WHEN doc_id % 5 <> 0 THEN n_chars END AS rating, (doc_id % 10 / 10.0)::DOUBLE AS score, row_number() OVER (PARTITION BY doc_id % 7 ORDER BY doc_id) - 1 AS rank FROM documents) "
+RANKED = "WITH k AS (SELECT doc_id AS id, lang, source, n_chars, text, doc_id // 100 AS query_id, CASE WHEN doc_id % 5 <> 0 THEN n_chars END AS rating, (doc_id % 10 / 10.0)::DOUBLE AS score, row_number() OVER (PARTITION BY doc_id // 100 ORDER BY doc_id) - 1 AS rank FROM documents) "
 
 
 def _meta(name: str, mode: str, weight: float, missing: str) -> None:

@@ -142,11 +142,11 @@ def url_valid(s, d):
     return t(s, d, "pages").select("page_id", X.valid_url(F.col("url")).alias("valid"))
 
 
-@query("SELECT doc_id, sha256(text || 'NoneNoneNone{}None') AS id FROM documents WHERE length(text) > 0")
+@query("SELECT doc_id, sha256(coalesce(nullif(text, ''), 'None') || 'NoneNoneNone{}None') AS id FROM documents")
 def document_id(s, d):
     from lexloom.schema import document_id as ident
 
-    return t(s, d, "documents").where(F.length("text") > 0).select("doc_id", ident(F.col("text")).alias("id"))
+    return t(s, d, "documents").select("doc_id", ident(F.col("text")).alias("id"))
 
 
 @query("SELECT doc_id, 'p: ' || lang || chr(10) || source || chr(10) || text || ' :s' AS content FROM documents")

@@ -234,6 +234,18 @@ def generate_replies(s, d):
     return models.generate(rows, lambda: lambda batch: [p.upper() for p in batch]).select("doc_id", "reply")
 
 
+@query("SELECT lang AS model, CAST(sum(n_chars) AS BIGINT) AS prompt_tokens, CAST(0 AS BIGINT) AS completion_tokens, CAST(sum(n_chars + 1) AS BIGINT) AS total_tokens FROM documents GROUP BY lang")
+def token_usage(s, d):
+    usage = F.to_json(F.struct(F.col("n_chars").alias("prompt_tokens"), (F.col("n_chars") + 1).alias("total_tokens")))
+    return models.token_usage(t(s, d, "documents").select(F.col("lang").alias("model"), usage.alias("usage")))
+
+
+@query("SELECT doc_id, 'Of ' || upper(lang) || ': ' || source || '!' AS prompt FROM documents")
+def prompt_filters(s, d):
+    docs = t(s, d, "documents").select("doc_id", "lang", "source")
+    return build.prompt_rows(docs, "Of {{ lang | upper }}: {{ source | loud }}", filters={"loud": lambda v: f"{v}!"}).select("doc_id", "prompt")
+
+
 @query("SELECT doc_id, doc_id % 4 = 0 AS ok FROM documents")
 def metadata_extraction(s, d):
     reply = lambda: lambda batch: [json.dumps({"lang": "x"}) if int(p) % 4 == 0 else "no json" if int(p) % 4 == 1 else None if int(p) % 4 == 2 else "{}" for p in batch]

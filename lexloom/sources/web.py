@@ -34,6 +34,12 @@ def http(url: str, method: str, headers: dict, body: bytes | None, timeout: floa
         return e.code, e.headers.get_content_type(), e.read()
 
 
+def http_lines(url: str, headers: dict, body: bytes, timeout: float = 60.0) -> Iterator[bytes]:
+    """The lines of an answer as they arrive."""
+    with urllib.request.urlopen(urllib.request.Request(url, data=body, headers=headers, method="POST"), timeout=timeout) as r:
+        yield from r
+
+
 def request(transport: Transport, url: str, method: str = "GET", headers: dict | None = None, body: bytes | None = None, retries: int = 2, timeout: float = 3.0, pause: float = 2.0) -> tuple[int, str, bytes]:
     """One request, repeated with growing pauses (2 to 10 seconds) on failures that may pass."""
     for i in range(retries + 1):

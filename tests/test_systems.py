@@ -12,7 +12,7 @@ from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from lexloom.errors import DuplicateDocument, MaxRunsError, PipelineError
-from lexloom.operators import agents
+from lexloom.operators import agents, build, models
 from lexloom.operators.store import DocumentTable
 from lexloom.plans.pipeline import Component, Greedy, Pipeline, SuperComponent, Variadic, branch, fits
 from lexloom.sources import files, web
@@ -319,3 +319,51 @@ def test_replies_end_at_stop_words():
     from lexloom.operators import models
 
     assert models.until(lambda: lambda batch: [x + " END more" for x in batch], ["END"])()(["a", "b"]) == ["a", "b"]
+
+
+def test_streamed_replies():
+    said = []
+    events = [b'data: {"choices": [{"delta": {"content": "He"}}]}\n', b"\n", b": comment\n", b'data: {"choices": [{"delta": {"content": "llo"}}]}\n', b'data: {"choices": [], "usage": {"total_tokens": 3}}\n', b"data: [DONE]\n"]
+    asked = []
+
+    def lines(url, headers, body):
+        asked.append(json.loads(body))
+        yield from events
+
+    chat = models.chat_service("http://x", "key", "m", on_chunk=said.append, lines=lines)()
+    assert chat([[{"role": "user", "content": "hi"}]]) == ["Hello"] and said == ["He", "llo"] and asked[0]["stream"] is True
+    events[:] = [b'data: {"choices": [{"delta": {"tool_calls": [{"index": 0, "id": "1", "function": {"name": "f", "arguments": "{\\"a\\""}}]}}]}', b'data: {"choices": [{"delta": {"tool_calls": [{"index": 0, "function": {"arguments": ": 1}"}}]}}]}']
+    assert chat([[{"role": "user", "content": "hi"}]])[0]["tool_calls"] == [{"id": "1", "tool_name": "f", "arguments": {"a": 1}}]
+
+
+def test_token_usage(spark):
+    df = spark.createDataFrame([("a", '{"prompt_tokens": 3, "total_tokens": 5}'), ("a", '{"prompt_tokens": 4, "total_tokens": 4}'), ("b", None)], "model string, usage string")
+    assert {r.model: (r.prompt_tokens, r.total_tokens) for r in models.token_usage(df).collect()} == {"a": (7, 9), "b": (0, 0)}
+
+
+def test_filters_in_templates(spark):
+    assert build.render("{{ a | upper }} {{ b.c|trim|twice }}", {"a": "x", "b": {"c": " y "}}, {"twice": lambda v: v * 2}) == "X yy"
+    assert build.template_variables("{{ a | upper }}{% for x in xs %}{{ x }}{% endfor %}") == ["a", "xs"]
+    with pytest.raises(ValueError):
+        build.render("{{ a | nothing }}", {"a": 1})
+    df = spark.createDataFrame([("q",)], "a string")
+    assert build.prompt_rows(df, "{{ a | loud }}", filters={"loud": lambda v: v + "!"}).first().prompt == "q!"
+
+
+def test_route_output_types(spark):
+    from lexloom.errors import PipelineError
+    from lexloom.operators import route
+
+    df = spark.createDataFrame([(1, "a")], "id int, s string")
+    assert route.conditional_route(df, [("id = 1", "id", "one", "int"), ("true", "s", "other", "string")]).first().route == "one"
+    with pytest.raises(PipelineError):
+        route.conditional_route(df, [("id = 1", "s", "one", "int")])
+
+
+def test_stand_ins(spark):
+    from lexloom.testing import component_factory, store_class
+
+    store = store_class("Fake", [("1", "a"), ("2", "b")], count=7)(spark)
+    assert store.count() == 7 and store.filter({"field": "id", "operator": "==", "value": "2"}).first().content == "b" and type(store).__name__ == "Fake"
+    p = Pipeline().add("a", component_factory({"x": int}, {"y": int}, lambda x: {"y": x + 1})()).add("b", component_factory({"y": int}, {"z": str}, {"z": "done"})()).connect("a.y", "b.y")
+    assert p.run({"a": {"x": 1}})["b"] == {"z": "done"}
