@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import WORD, text_key, with_rank
+from lexloom.llm.common import WORD, Scratch, text_key, with_rank
 
 REPEAT = 3
 
@@ -148,6 +148,8 @@ def mix(docs: DataFrame, weight: Callable[[int, str | None], float], keys: Seque
     a, b = text_key(text)
     cols = list(dict.fromkeys([*keys, *carry]))
     rows = sizes(docs, text).select(*[F.col(f"`{c}`") for c in cols], F.col(f"`{source}`").alias("__source"), F.col("size").alias("__size"), F.xxhash64(F.lit(seed), a, b, *[F.col(f"`{k}`") for k in keys]).alias("__hash"))
+    # Words are counted once: all else reads these rows.
+    rows = Scratch(docs.sparkSession, "mixing").keep(rows, "sizes")
     histogram = rows.groupBy("__source", "__size").agg(F.count(F.lit(1)).alias("n"))
     found = histogram.groupBy("__source").agg(F.sum(F.col("__size") * F.col("n")).alias("words"), F.sum("n").alias("n")).collect()
     totals = {r["__source"]: int(r["words"]) for r in found}
@@ -174,7 +176,7 @@ def mix_documents(docs: DataFrame, weight: Callable[[int, str | None], float], s
     """The mix itself: each document's row as many times as it is taken, columns as in docs.
 
     Sizes and choices are settled on rows without text; the texts move once, by the seeded hash. Rows that are equal in
-    doc_id and text share a hash and divide the copies that they are given together.
+    doc_id and text share a hash and divide the copies that they are given together. Names that begin with __ are reserved.
     """
     a, b = text_key("text")
     mine = docs.withColumn("__key", F.xxhash64(F.lit(seed), a, b, F.col("doc_id")))
