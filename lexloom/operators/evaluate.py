@@ -65,10 +65,17 @@ def exact_match(pairs: DataFrame, truth: str = "answer", predicted: str = "predi
     return pairs.select("query_id", (F.col(truth) == F.col(predicted)).cast("int").cast("double").alias("score"))
 
 
-def semantic_similarity(pairs: DataFrame, embed: Callable, truth: str = "answer", predicted: str = "predicted_answer") -> DataFrame:
-    """Cosine of two embedded answers (embed: an Arrow function of text to a vector)."""
-    from lexloom.functions.text import cosine
-
+def semantic_similarity(pairs: DataFrame, embed: Callable | None = None, truth: str = "answer", predicted: str = "predicted_answer", cross: Callable | None = None) -> DataFrame:
+    """Similarity of two answers: the cosine of their vectors (embed: a function of a text column to a vector), or what a model says of
+    both (cross: a function of two text columns to a number), through a sigmoid where it leaves 0 to 1."""
+    from lexloom.functions.text import cosine, expit
+
+    if (embed is None) == (cross is None):
+        raise ValueError("one model is needed: embed or cross")
+    if cross is not None:
+        s = pairs.select("query_id", cross(F.col(truth), F.col(predicted)).cast("double").alias("s"))
+        unit = s.agg(F.coalesce(F.min("s") >= 0, F.lit(True)) & F.coalesce(F.max("s") <= 1, F.lit(True))).first()[0]
+        return s.select("query_id", (F.col("s") if unit else expit(F.col("s"))).alias("score"))
     both = pairs.select("query_id", embed(F.col(truth)).alias("a"), embed(F.col(predicted)).alias("b"))
     return both.select("query_id", F.coalesce(cosine(F.col("a"), F.col("b")), F.lit(0.0)).alias("score"))
 

@@ -55,7 +55,17 @@ def conditional_route(df: DataFrame, routes: Sequence[tuple[str, ...]]) -> DataF
 
 
 #: Frequent words by language, for the detector that needs no model.
-FREQUENT = {"en": "the of and to in is that for with was are", "de": "der die das und ist ein eine nicht mit zu den", "fr": "le la les des et un une est que dans qui pour", "es": "el los las y en una que por con del es la"}
+FREQUENT = {
+    "de": "der die das und ist ein eine nicht mit zu den",
+    "en": "the of and to in is that for with was are",
+    "es": "el los las y en una que por con del es la",
+    "fr": "le la les des et un une est que dans qui pour",
+    "it": "il gli che di non per sono una della nel anche",
+    "nl": "het een van niet dat op te voor met zijn aan",
+    "pl": "nie na się jest do że to jak przez oraz w",
+    "pt": "os as não uma para com do da dos em mais",
+    "sv": "och att det som på är av för den inte med",
+}
 
 
 def detect_language(text: Column) -> Column:

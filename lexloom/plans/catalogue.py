@@ -110,7 +110,7 @@ _HITS = ", ".join(f"len(list_filter(ws, lambda x: x IN ({', '.join(repr(w) for w
 
 
 @query(f"""WITH w AS (SELECT doc_id, string_split_regex(lower(text), '[^\\p{{L}}]+') AS ws FROM documents), n AS (SELECT doc_id, {_HITS} FROM w),
-  u AS (SELECT doc_id, unnest([struct_pack(n := en, lang := 'en'), struct_pack(n := de, lang := 'de'), struct_pack(n := fr, lang := 'fr'), struct_pack(n := es, lang := 'es')]) AS x FROM n),
+  u AS (SELECT doc_id, unnest([{', '.join(f"struct_pack(n := {lang}, lang := '{lang}')" for lang in route.FREQUENT)}]) AS x FROM n),
   b AS (SELECT doc_id, max(x) AS x FROM u GROUP BY doc_id) SELECT doc_id, CASE WHEN x.n > 0 AND x.lang IN ('en', 'de', 'fr') THEN x.lang ELSE 'unmatched' END AS language FROM b""")
 def language_router(s, d):
     return route.language_route(t(s, d, "documents"), ["en", "de", "fr"]).select("doc_id", "language")

@@ -221,6 +221,29 @@ def answer_similarity(s, d):
     return evaluate.semantic_similarity(pairs, lambda x: F.from_json(x, "array<double>")).select("query_id", r6(F.col("score"), "score"))
 
 
+@query("SELECT doc_id AS query_id, round(1 / (1 + exp(-(length(source) - length(lang)))), 6) AS score FROM documents")
+def answer_similarity_cross(s, d):
+    pairs = t(s, d, "documents").select(F.col("doc_id").alias("query_id"), F.col("source").alias("answer"), F.col("lang").alias("predicted_answer"))
+    return evaluate.semantic_similarity(pairs, cross=lambda a, b: F.length(a) - F.length(b)).select("query_id", r6(F.col("score"), "score"))
+
+
+@query("SELECT doc_id AS query_id, lang AS question, CAST(n_chars AS DOUBLE) AS size FROM documents")
+def report_sink(s, d):
+    """A detailed report, written as CSV and read again."""
+    docs = t(s, d, "documents")
+    report = evaluate.detailed_report(docs.select(F.col("doc_id").alias("query_id"), F.col("lang").alias("question")), {"size": docs.select(F.col("doc_id").alias("query_id"), F.col("n_chars").cast("double").alias("score"))})
+    evaluate.save_report(report, path := _folder(s))
+    return s.read.schema("query_id long, question string, size double").option("header", True).csv(path)
+
+
+@query("SELECT doc_id AS id, lang AS lang, 'all' AS part, source AS source FROM documents")
+def converter_meta(s, d):
+    """Meta of all files, of a file, and of its reader."""
+    raw = t(s, d, "documents").select(F.concat(F.lit("f/"), F.col("doc_id").cast("string")).alias("path"), F.encode(F.to_json(F.struct(F.lit("x").alias("t"), "source")), "utf-8").alias("content"), F.to_json(F.struct("lang")).alias("meta"))
+    got = files.good(files.convert(raw, files.json_reader(None, "t", {"source"}), meta={"part": "all"}))
+    return got.select(F.col("file_path").cast("long").alias("id"), *[F.get_json_object("meta", f"$.{k}").alias(k) for k in ("lang", "part", "source")])
+
+
 @query("SELECT doc_id AS query_id, CAST(doc_id % 3 / 2.0 AS DOUBLE) AS score FROM documents")
 def judged_faithfulness(s, d):
     judge = F.pandas_udf(lambda x: x.map(lambda p: json.dumps({"statements": ["a", "b"], "statement_scores": [int(p) >= 1, int(p) >= 2]}).replace("true", "1").replace("false", "0")), "string")

@@ -43,21 +43,26 @@ def read_text(spark: SparkSession, path: str | Sequence[str], encoding: str = "u
     return decode_rows(read_binary(spark, path), encoding, store_full_path)
 
 
-def convert(raw: DataFrame, function: Callable[[bytes, str], list[tuple[str, dict]]], store_full_path: bool = False) -> DataFrame:
-    """Applies a reader of bytes to each file: rows of file_path, content, meta (JSON) and error."""
+def convert(raw: DataFrame, function: Callable[[bytes, str], list[tuple[str, dict]]], store_full_path: bool = False, meta: dict | None = None) -> DataFrame:
+    """Applies a reader of bytes to each file: rows of file_path, content, meta (JSON) and error.
+
+    The meta of a document is what the caller gives for all files (`meta`), then for its own in a column `meta` (JSON), then what the reader finds.
+    """
+    own = F.col("meta") if "meta" in raw.columns else F.lit(None).cast("string")
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
             rows = []
-            for path, data in zip(p["path"], p["content"], strict=True):
+            for path, data, given in zip(p["path"], p["content"], p["meta"], strict=True):
                 name = path if store_full_path else path.rpartition("/")[2]
                 try:
-                    rows += [(name, t, json.dumps(m, sort_keys=True), None) for t, m in function(data, path)]
+                    more = {**(meta or {}), **(json.loads(given) if given else {})}
+                    rows += [(name, t, json.dumps(more | m, sort_keys=True), None) for t, m in function(data, path)]
                 except Exception as e:  # any broken file
                     rows.append((name, None, None, f"{type(e).__name__}: {e}"))
             yield pd.DataFrame(rows, columns=["path", "content", "meta", "error"])
 
-    return raw.select("path", "content").mapInPandas(run, OUT).withColumnRenamed("path", "file_path")
+    return raw.select("path", "content", own.alias("meta")).mapInPandas(run, OUT).withColumnRenamed("path", "file_path")
 
 
 def good(converted: DataFrame) -> DataFrame:
@@ -72,16 +77,25 @@ class _Text(html.parser.HTMLParser):
     SKIP = {"script", "style", "nav", "header", "footer", "aside", "noscript", "template", "form", "svg", "title"}
     BLOCK = {"p", "div", "br", "li", "tr", "h1", "h2", "h3", "h4", "h5", "h6", "section", "article", "ul", "ol", "table", "blockquote", "pre"}
 
+    MAIN = {"article", "main"}
+
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.out: list[str] = []
-        self.depth, self.title, self.in_title = 0, "", False
+        self.main: list[str] = []
+        self.depth, self.title, self.in_title, self.inside = 0, "", False, 0
+
+    def put(self, text: str) -> None:
+        self.out.append(text)
+        if self.inside:
+            self.main.append(text)
 
     def handle_starttag(self, tag, attrs):
         self.depth += tag in self.SKIP
+        self.inside += tag in self.MAIN
         self.in_title |= tag == "title"
         if tag in self.BLOCK:
-            self.out.append("\n")
+            self.put("\n")
 
     def handle_endtag(self, tag):
         if tag in self.SKIP and self.depth:
@@ -89,21 +103,25 @@ class _Text(html.parser.HTMLParser):
         if tag == "title":
             self.in_title = False
         if tag in self.BLOCK:
-            self.out.append("\n")
+            self.put("\n")
+        if tag in self.MAIN and self.inside:
+            self.inside -= 1
 
     def handle_data(self, data):
         if self.in_title:
             self.title += data
         elif not self.depth:
-            self.out.append(data)
+            self.put(data)
 
 
 def html_text(source: str) -> tuple[str, str]:
-    """(main text, title): menus, scripts and forms left out, one line for each block."""
+    """(main text, title): that of its articles or main part if the page marks any with text, else of the whole page; menus, scripts and
+    forms left out, one line for each block."""
     p = _Text()
     p.feed(source)
     p.close()
-    lines = (re.sub(r"[ \t\r\f\v]+", " ", x).strip() for x in "".join(p.out).split("\n"))
+    main = "".join(p.main)
+    lines = (re.sub(r"[ \t\r\f\v]+", " ", x).strip() for x in (main if main.strip() else "".join(p.out)).split("\n"))
     return "\n".join(x for x in lines if x), p.title.strip()
 
 
