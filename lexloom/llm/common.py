@@ -5,8 +5,11 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
-from collections.abc import Sequence
+from itertools import chain
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -16,10 +19,13 @@ WORD = f"[^{SPACE}]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir; where that is unset, one below the warehouse, or of a single machine its own."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="lexloom-")
+        if spark.sparkContext.master.startswith("local") and not spark.sparkContext.master.startswith("local-cluster"):
+            where = "file://" + tempfile.mkdtemp(prefix="lexloom-")
+        else:
+            where = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/lexloom-checkpoints"
         spark.sparkContext.setCheckpointDir(where)
     return where.rstrip("/")
 
@@ -29,7 +35,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/lexloom/{name}-{uuid.uuid4().hex}", 0
-        self.tables: list[str] = []
+        self.tables: dict[str, str] = {}
 
     def path(self, label: str) -> str:
         self.n += 1
@@ -42,10 +48,10 @@ class Scratch:
 
     def bucketed(self, df: DataFrame, label: str, keys: Sequence[str]) -> DataFrame:
         """Like keep, as a table bucketed by keys, so that joins on them don't move it."""
-        name, n = f"lexloom_{uuid.uuid4().hex}", int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        w = df.write.bucketBy(n, *keys).sortBy(*keys).option("path", self.path(label)).option("compression", "zstd")
+        name, n, path = f"lexloom_{uuid.uuid4().hex}", int(self.spark.conf.get("spark.sql.shuffle.partitions")), self.path(label)
+        w = df.write.bucketBy(n, *keys).sortBy(*keys).option("path", path).option("compression", "zstd")
         w.saveAsTable(name)
-        self.tables.append(name)
+        self.tables[path.rpartition("/")[2]] = name
         return self.spark.table(name)
 
     def release(self) -> None:
@@ -54,13 +60,15 @@ class Scratch:
         self.spark._jvm.System.gc()
 
     def drop(self, *frames: DataFrame) -> None:
-        """Deletes tables that nothing reads any more."""
+        """Deletes tables that nothing reads any more, with their entries in the catalogue."""
         jvm = self.spark._jvm
         for df in frames:
             for f in {x.rpartition("/")[0] for x in df.inputFiles()}:
                 if "/lexloom/" in f:
                     p = jvm.org.apache.hadoop.fs.Path(f)
                     p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+                if name := self.tables.pop(f.rpartition("/")[2], None):
+                    self.spark.sql(f"DROP TABLE IF EXISTS {name}")
 
 
 def text_key(text: Column | str) -> tuple[Column, Column]:
@@ -73,6 +81,43 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def in_groups(df: DataFrame, keys: Sequence[str], run: Callable[[pa.Table, int, int], pa.RecordBatch | None], schema: str, rows: int = 20_000) -> DataFrame:
+    """What `run` makes of each group of rows with equal keys (not null). It gets a table and the group's bounds there.
+
+    Rows are dealt out and sorted by the keys; a task holds about `rows` rows or one group, so groups must have a bounded size.
+    Small groups cost no call of their own between Spark and Python, unlike applyInPandas.
+    """
+    n = len(keys)
+
+    def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in chain(batches, [None]):
+            if batch is not None:
+                if len(batch):
+                    held.append(batch)
+                if sum(map(len, held)) < rows:
+                    continue
+            if not held:
+                return
+            t = pa.Table.from_batches(held).combine_chunks()
+            new = np.zeros(len(t), bool)
+            new[0] = True
+            for k in range(n):
+                x = t.column(k).to_numpy()
+                new[1:] |= x[1:] != x[:-1]
+            at = np.flatnonzero(new).tolist()
+            ends = [*at[1:], len(t)]
+            if batch is not None:  # the last group may go on
+                held = t.slice(at[-1]).to_batches()
+                at, ends = at[:-1], ends[:-1]
+            for a, b in zip(at, ends, strict=True):
+                out = run(t, a, b)
+                if out is not None and len(out):
+                    yield out
+
+    return df.select(*keys, *[c for c in df.columns if c not in keys]).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(groups, schema)
+
+
 def with_rank(df: DataFrame, keys: Sequence[str], bucket: Column, order: Sequence[Column], name: str, buckets: int) -> DataFrame:
     """Adds the exact rank (long, from 0) of each row among rows with equal keys.
 

@@ -7,71 +7,136 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexloom.llm.bytesview import LOWER, MASK, Rolling, mix, slices, view, words
-from lexloom.llm.common import SPACE, Scratch, components, text_key
+from lexloom.llm.common import SPACE, Scratch, components, in_groups, text_key
 from lexloom.llm.suffixes import pack, unpack
 
-CHUNK = 1_500_000
+CHUNK = 500_000
 BLOCK = 128  # texts of a bucket that meet as a block
 TABLE = 14  # bits of the tables of random draws
 NIBBLE, PER_WORD = 4, 16  # bits of a sample in a sketch, and samples in each of its words
 
 
+def portions(sizes: pa.Array) -> Iterator[tuple[int, int]]:
+    """Bounds of runs of rows of about CHUNK bytes in all; one longer text is a run of its own."""
+    ends, at = np.cumsum(sizes.to_numpy(zero_copy_only=False)), 0
+    while at < len(ends):
+        end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + CHUNK, "right")))
+        yield at, end
+        at = end
+
+
+def texts_of(z: pa.Array, sizes: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Compressed texts laid end to end, and their bounds."""
+    return joined_up([unpack(t, n) for t, n in zip(z.to_pylist(), sizes.to_pylist(), strict=True)])
+
+
+def joined_up(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
+
+
+def rows_of(col: pa.Array) -> list[np.ndarray | None]:
+    """The rows of a list column as views."""
+    flat, off = col.values.to_numpy(zero_copy_only=False), col.offsets.to_numpy()
+    return [flat[a:b] if ok else None for a, b, ok in zip(off[:-1].tolist(), off[1:].tolist(), col.is_valid().to_pylist(), strict=True)]
+
+
 class Settings(NamedTuple):
-    """Bands of rows samples each. `rare` is the share of documents below which a word's frequency no longer counts."""
+    """Bands of rows samples each. Counts of words in at least a share `rare` of the documents are broadcast, all others joined; no result depends on it."""
 
     shingle: int = 5
     least: float = 0.8
     bands: int = 16
     rows: int = 4
-    rare: float = 0.001
+    rare: float = 0.0005
     seed: int = 3
 
 
+def idf(df: np.ndarray | float, n: int) -> np.ndarray:
+    """1 + ln(n / df) / ln(n) of words in df of n documents: 1 for a word in all of them, 2 for a word in one, at every size of the corpus."""
+    return (2 - np.log(df) / math.log(max(n, 2))).astype(np.float32)
+
+
+class Corpus(NamedTuple):
+    """Number of documents, and hashes (sorted) with IDF of the words that many documents hold."""
+
+    n: int
+    words: np.ndarray
+    idf: np.ndarray
+
+
+class Words(NamedTuple):
+    """Words of texts: hashes, bounds by text, each word's text, whether it is common and its place there; places of all others sorted by
+    text and hash, which of these are new, and bounds of the new ones by text."""
+
+    hashes: np.ndarray
+    bounds: np.ndarray
+    text: np.ndarray
+    common: np.ndarray
+    place: np.ndarray
+    rarer: np.ndarray
+    new: np.ndarray
+    distinct: np.ndarray
+
+
 class Shingles:
     """Weighted shingles of texts: hashes, weights (term frequency times the mean IDF of the words) and bounds by text.
 
-    IDF of a word is 1 + ln(1 / max(document share, rare)), from all documents. Words rarer than `rare` share one
-    value, so the table of the others has at most (distinct words per document) / rare entries, however large the corpus.
-    Words are runs without ASCII white space, A-Z lower-cased; a text of fewer words than a shingle has one shingle of all.
+    IDF comes from the number of documents, copies included, that hold a word: from the corpus' common words, else from the
+    counts of the text's own rarer ones. Words are runs without ASCII white space, A-Z
+    lower-cased; a text of fewer words than a shingle has one shingle of all.
     """
 
-    def __init__(self, settings: Settings, common: tuple[np.ndarray, np.ndarray] | None = None):
-        self.s, self.common, self.roll = settings, common, Rolling(21)
+    def __init__(self, settings: Settings, corpus: Corpus | None = None):
+        self.s, self.corpus, self.roll = settings, corpus, Rolling(21)
 
     def word_hashes(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         data = LOWER[data]
         a, b, at = words(data, off)
         return mix(self.roll.feed(data)(a, b)), at
 
-    def __call__(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        k = self.s.shingle
+    def common(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether each word is common, and its place among the common words."""
+        if not len(self.corpus.words):
+            return np.zeros(len(h), bool), np.zeros(len(h), np.int64)
+        i = np.minimum(np.searchsorted(self.corpus.words, h), len(self.corpus.words) - 1)
+        return self.corpus.words[i] == h, i
+
+    def parse(self, data: np.ndarray, off: np.ndarray) -> Words:
         h, at = self.word_hashes(data, off)
-        idf = np.full(len(h), 1 + math.log(1 / self.s.rare), np.float32)
-        if self.common is not None and len(self.common[0]):
-            i = np.minimum(np.searchsorted(self.common[0], h), len(self.common[0]) - 1)
-            hit = self.common[0][i] == h
-            idf[hit] = self.common[1][i[hit]]
+        text = np.repeat(np.arange(len(off) - 1), np.diff(at))
+        hit, place = self.common(h)
+        left = np.flatnonzero(~hit)
+        left = left[np.lexsort((h[left], text[left]))]
+        new = np.ones(len(left), bool)
+        new[1:] = (h[left[1:]] != h[left[:-1]]) | (text[left[1:]] != text[left[:-1]])
+        return Words(h, at, text, hit, place, left, new, np.searchsorted(text[left[new]], np.arange(len(off))))
+
+    def __call__(self, w: Words, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """counts: in how many documents the rarer words stand, in the order of `parse`."""
+        k, h, at, doc = self.s.shingle, w.hashes, w.bounds, w.text
         count = np.diff(at)
+        weights = np.empty(len(h), np.float32)
+        weights[w.common] = self.corpus.idf[w.place[w.common]]
+        weights[w.rarer] = idf(counts, self.corpus.n)[np.cumsum(w.new) - 1]
         n = len(h)
         grams, weight = np.zeros(n, np.uint64), np.zeros(n, np.float32)
         for j in range(min(k, n)):
             grams[: n - j] = mix(grams[: n - j] + h[j:]) if j else h
-            weight[: n - j] += idf[j:]
+            weight[: n - j] += weights[j:]
         # Full shingles start k - 1 words before a text's end at the latest; a shorter text is hashed as a whole.
-        doc = np.repeat(np.arange(len(count)), count)
         inside = np.arange(n) + k <= at[doc + 1]
         weight /= k
         for d in np.flatnonzero((count > 0) & (count < k)):
             g, f = h[at[d]], at[d]
             for x in h[f + 1 : at[d + 1]]:
                 g = mix(np.array([g], np.uint64) + x)[0]
-            grams[f], weight[f], inside[f] = g ^ np.uint64(0xABCDEF), idf[f : at[d + 1]].mean(), True
+            grams[f], weight[f], inside[f] = g ^ np.uint64(0xABCDEF), weights[f : at[d + 1]].mean(), True
         doc, grams, weight = doc[inside], grams[inside], weight[inside]
         order = np.lexsort((grams, doc))
         doc, grams, weight = doc[order], grams[order], weight[order]
@@ -96,31 +161,40 @@ class Sampler:
         rng = np.random.Generator(np.random.PCG64(settings.seed))
         n = 1 << TABLE
         self.r = rng.gamma(2, 1, n).astype(np.float32)
-        self.inv = (1 / self.r).astype(np.float32)
         self.b = rng.random(n).astype(np.float32)
         self.lc = (np.log(rng.gamma(2, 1, n)) - self.r).astype(np.float32)
         self.odd = rng.integers(1, 1 << 63, settings.bands * settings.rows, dtype=np.uint64) | np.uint64(1)
 
     def __call__(self, grams: np.ndarray, weight: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Band hashes of each text that has shingles (texts x bands), and its sketch: NIBBLE bits of each sample, in 64-bit words."""
-        s, full = self.s, np.flatnonzero(np.diff(at) > 0)
-        lw, begin = np.log(weight), at[full]
+        s, full, n = self.s, np.flatnonzero(np.diff(at) > 0), len(grams)
+        begin = at[full]
+        lw, count = np.log(weight), np.diff(np.append(begin, n))
         out = np.zeros((len(full), s.bands), np.uint64)
         sketch = np.zeros((len(full), -(-s.bands * s.rows // PER_WORD)), np.uint64)
+        if not len(full):
+            return out, sketch
+        h, place = np.empty(n, np.uint64), np.empty(n, np.uint64)
+        r, b, a, t = (np.empty(n, np.float32) for _ in range(4))
         for k in range(s.bands * s.rows):
-            h = grams * self.odd[k]
-            i = (h >> np.uint64(64 - TABLE)).astype(np.int32)
-            r, b = self.r[i], self.b[i]
-            t = np.floor(lw * self.inv[i] + b)
-            a = self.lc[i] - r * (t - b)
-            # Order-preserving bits of a float, then the identity of (shingle, t) below them.
-            bits = a.view(np.uint32)
-            bits = np.where(bits >> 31 == 1, ~bits, bits | np.uint32(0x80000000)).astype(np.uint64)
-            who = (h ^ (h >> np.uint64(29)) ^ (t.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15))) & np.uint64(0xFFFFFFFF)
-            least = np.minimum.reduceat(bits << np.uint64(32) | who, begin) if len(begin) else np.zeros(0, np.uint64)
+            np.multiply(grams, self.odd[k], out=h)
+            np.right_shift(h, np.uint64(64 - TABLE), out=place)
+            for table, to in ((self.r, r), (self.b, b), (self.lc, a)):
+                np.take(table, place.view(np.int64), out=to, mode="clip")
+            np.divide(lw, r, out=t)
+            t += b
+            np.floor(t, out=t)
+            b -= t
+            b *= r
+            a += b
+            # Few shingles have the least a of their text; of several, one of the least identity of (shingle, t).
+            hit = np.flatnonzero(a == np.repeat(np.minimum.reduceat(a, begin), count))
+            who = (h[hit] ^ (h[hit] >> np.uint64(29)) ^ (t[hit].astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15))) & np.uint64(0xFFFFFFFF)
+            if len(hit) > len(full):
+                who = np.minimum.reduceat(who, np.searchsorted(hit, begin))
             j = k // s.rows
-            out[:, j] = mix(out[:, j] ^ (least & np.uint64(0xFFFFFFFF)) + np.uint64((k + 1) * 0xC2B2AE3D27D4EB4F & MASK))
-            sketch[:, k // PER_WORD] |= (least >> np.uint64(12) & np.uint64(15)) << np.uint64(NIBBLE * (k % PER_WORD))
+            out[:, j] = mix(out[:, j] ^ who + np.uint64((k + 1) * 0xC2B2AE3D27D4EB4F & MASK))
+            sketch[:, k // PER_WORD] |= (who >> np.uint64(12) & np.uint64(15)) << np.uint64(NIBBLE * (k % PER_WORD))
         return out, sketch
 
 
@@ -154,8 +228,8 @@ def similarity(g1: np.ndarray, w1: np.ndarray, g2: np.ndarray, w2: np.ndarray) -
     return both / whole if whole else 0.0
 
 
-def common_words(docs: DataFrame, text: str, settings: Settings) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes (sorted) and IDF of the words in at least a share `rare` of all documents. Counts cover every document."""
+def count_words(docs: DataFrame, text: str, settings: Settings, tmp: Scratch) -> tuple[Corpus, DataFrame]:
+    """The corpus' common words, and a table (w, n) of the words in at least two documents that are not common. Counts cover every document."""
     shingles = Shingles(settings)
 
     def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,12 +260,13 @@ def common_words(docs: DataFrame, text: str, settings: Settings) -> tuple[np.nda
 
     src = docs.select(F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("t"))
     n = docs.count()
-    seen = src.mapInArrow(count, "w bigint, n bigint").groupBy("w").agg(F.sum("n").alias("n")).where(F.col("n") >= max(1, math.ceil(settings.rare * n)))
-    table = seen.toArrow()
+    seen = src.mapInArrow(count, "w bigint, n bigint").groupBy("w").agg(F.sum("n").alias("n")).where("n > 1")
+    seen, least = tmp.keep(seen, "words"), math.ceil(settings.rare * n)
+    table = seen.where(F.col("n") >= least).toArrow()
     h = np.array(table.column("w").to_pylist(), np.int64).view(np.uint64)
     df = np.array(table.column("n").to_pylist(), np.float64)
     order = np.argsort(h)
-    return h[order], (1 + np.log(1 / np.maximum(df[order] / max(n, 1), settings.rare))).astype(np.float32)
+    return Corpus(n, h[order], idf(df[order], n)), seen.where(F.col("n") < least)
 
 
 def merge(labels: DataFrame | None, edges: DataFrame, tmp: Scratch) -> DataFrame:
@@ -211,14 +286,14 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     Linked are equal texts and texts whose weighted Jaccard similarity over shingles is at least `settings.least`; classes are what
     links reach. kept holds for one row of each class: that with the smallest doc_id (null first), of equal ones any one.
     Null, empty and blank texts have no words: each is a class of its own and is kept. class_id of a class whose smallest doc_id
-    is null is null. Columns of the added names are replaced, others pass through (names that begin with __ are reserved).
+    is null is null. doc_id holds whole numbers. Columns of the added names are replaced, others pass through (names that begin with __ are reserved).
 
     Each distinct text enters once. In every band, texts are compared with one of their bucket, then what is not yet connected
     with another one. A bucket of thousands of copies costs one comparison each. After two such rounds, texts of different classes
     meet in their buckets block by block (two texts of similarity 0.8 share a bucket with probability 0.9998); what leaves a block are
     the links that connect its classes, never its pairs. Before texts are compared, a pair's total weights and sketches of all
     samples must allow the similarity (they do in all but 1e-5 of cases at 0.8), so texts that only share a common passage are told
-    apart there. Buckets and edges are rows; no bucket is collected in a task.
+    apart there; texts only move to the blocks of pairs that pass. Buckets and edges are rows; no bucket is collected in a task.
     """
     spark = docs.sparkSession
     tmp = Scratch(spark, "minhash")
@@ -226,100 +301,128 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     base = docs.drop("class_id", "class_size", "kept")
     keyed = base.withColumns({"__t1": a, "__t2": b})
     real = keyed.where(F.col(f"`{text}`").rlike(f"[^{SPACE}]"))
-    common = spark.sparkContext.broadcast(common_words(base, text, settings))
+    corpus, rarer = count_words(base, text, settings, tmp)
+    corpus = spark.sparkContext.broadcast(corpus)
+
+    # Distinct texts, each once and where its hash puts it; their words that are too rare to be broadcast ask for their counts.
+    packed = pack(real, text, ["__t1", "__t2"]).groupBy(F.col("__t1").alias("t1"), F.col("__t2").alias("t2"))
+    distinct = packed.agg(F.first(F.struct(F.col("__z").alias("z"), F.col("__size").alias("size"))).alias("s")).select("t1", "t2", "s.*")
+    distinct = tmp.bucketed(distinct.withColumn("i", F.monotonically_increasing_id()), "distinct", ["t1", "t2"])
+    tmp.release()
+
+    def ask(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingles = Shingles(settings, corpus.value)
+        for p in parts:
+            for at, end in portions(p.column(2)):
+                w = shingles.parse(*texts_of(p.column(1).slice(at, end - at), p.column(2).slice(at, end - at)))
+                first = w.rarer[w.new]
+                k = np.arange(len(first)) - w.distinct[w.text[first]]
+                yield pa.RecordBatch.from_arrays([pa.array(w.hashes[first].view(np.int64)), p.column(0).slice(at, end - at).take(pa.array(w.text[first])), pa.array(k.astype(np.int32))], names=["w", "i", "k"])
+
+    asked = distinct.select("i", "z", "size").mapInArrow(ask, "w bigint, i bigint, k int")
+    counted = asked.join(rarer, "w").select("i", F.shiftleft(F.col("k").cast("long"), 32).bitwiseOR(F.col("n")).alias("kn"))
+    lists = counted.groupBy("i").agg(F.collect_list("kn").alias("kn"))
+    lists = tmp.keep(lists.join(distinct.select("i", "t1", "t2"), "i").select("t1", "t2", "kn"), "lists")
+    tmp.drop(rarer)
+    tmp.release()
 
     def sign(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles, sampler = Shingles(settings, common.value), Sampler(settings)
+        shingles, sampler = Shingles(settings, corpus.value), Sampler(settings)
         for p in parts:
-            for s in slices(p, "t", CHUNK):
-                grams, weight, at = shingles(*view(s.column(2)))
+            for start, end in portions(p.column(4)):
+                s = p.slice(start, end - start)
+                words = shingles.parse(*texts_of(s.column(3), s.column(4)))
+                counts = np.ones(words.distinct[-1], np.int32)
+                for at, kn in zip(words.distinct.tolist(), rows_of(s.column(5)), strict=False):
+                    if kn is not None:
+                        counts[at + (kn >> 32)] = kn & 0xFFFFFFFF
+                grams, weight, at = shingles(words, counts)
                 bands, sketch = sampler(grams, weight, at)
-                rows = np.flatnonzero(np.diff(at) > 0)
-                lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.view(np.int64).ravel())) for x in (bands, sketch)]
-                whole = pa.array(np.add.reduceat(weight, at[rows], dtype=np.float64) if len(rows) else np.zeros(0))
-                full = pa.array(rows)
-                yield pa.RecordBatch.from_arrays([s.column(0).take(full), s.column(1).take(full), *lists, whole], names=["t1", "t2", "bands", "sketch", "weight"])
-
-    src = real.select(F.col("__t1").alias("t1"), F.col("__t2").alias("t2"), F.col(f"`{text}`").alias("t"))
-    signed = src.mapInArrow(sign, "t1 bigint, t2 bigint, bands array<bigint>, sketch array<bigint>, weight double")
-    signed = signed.groupBy("t1", "t2").agg(F.first(F.struct("bands", "sketch", "weight")).alias("s")).select("t1", "t2", "s.*")
-    signed = tmp.keep(signed.withColumn("i", F.monotonically_increasing_id()), "signed")
+                rare = pa.array([counts[a:b].tobytes() for a, b in zip(words.distinct[:-1].tolist(), words.distinct[1:].tolist(), strict=True)], pa.binary())
+                two = [pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.view(np.int64).ravel())) for x in (bands, sketch)]
+                whole = pa.array(np.add.reduceat(weight, at[:-1], dtype=np.float64))
+                yield pa.RecordBatch.from_arrays([*s.columns[:3], rare, *two, whole], names=["t1", "t2", "i", "rare", "bands", "sketch", "weight"])
+
+    signed = distinct.join(lists, ["t1", "t2"], "left").select("t1", "t2", "i", "z", "size", "kn")
+    signed = tmp.keep(signed.mapInArrow(sign, "t1 bigint, t2 bigint, i bigint, rare binary, bands array<bigint>, sketch array<bigint>, weight double"), "signed")
+    tmp.drop(lists)
+    tmp.release()
     members = signed.select("i", F.posexplode("bands").alias("j", "h"))
     # Tables of buckets are written: joined from there, Spark deals out the rows of a hot bucket to several tasks.
     shared = tmp.keep(members.groupBy("j", "h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "shared")
     members = members.join(shared, ["j", "h"]).join(signed.select("i", "sketch", "weight"), "i")
     members = tmp.keep(members, "members")
 
-    # Texts of all members, one row each.
-    number = F.col(f"`{doc_id}`").cast("long")
-    ids = members.select("i").distinct().join(signed.select("i", "t1", "t2"), "i")
-    one = real.groupBy(F.col("__t1").alias("t1"), F.col("__t2").alias("t2")).agg(F.min(number).alias("one")).join(ids, ["t1", "t2"])
-    packed = pack(real.withColumn("__n", number), text, ["__t1", "__t2", "__n"])
-    texts = packed.join(one, (F.col("__t1") == F.col("t1")) & (F.col("__t2") == F.col("t2")) & F.col("__n").eqNullSafe(F.col("one")))
-    texts = tmp.keep(texts.select("i", F.col("__z").alias("z"), F.col("__size").alias("size")).dropDuplicates(["i"]), "texts")
+    own = signed.select("t1", "t2", "i", "rare").join(members.select("i").distinct(), "i", "left_semi")
+    texts = tmp.keep(distinct.select("t1", "t2", "z", "size").join(own, ["t1", "t2"]).select("i", "z", "size", "rare"), "texts")
+    tmp.drop(distinct)
 
     def verify(pairs: DataFrame) -> DataFrame:
         """Of pairs (a, b), those that are similar enough."""
-        left = texts.select(F.col("i").alias("a"), F.col("z").alias("za"), F.col("size").alias("sa"))
-        right = texts.select(F.col("i").alias("b"), F.col("z").alias("zb"), F.col("size").alias("sb"))
-        met = pairs.join(left, "a").join(right, "b").select("a", "b", "za", "sa", "zb", "sb")
+        left, right = (texts.select(F.col("i").alias(e), *[F.col(c).alias(c + e) for c in ("z", "size", "rare")]) for e in "ab")
+        met = pairs.join(left, "a").join(right, "b").select("a", "b", "za", "sizea", "rarea", "zb", "sizeb", "rareb")
 
         def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            shingles = Shingles(settings, common.value)
+            shingles = Shingles(settings, corpus.value)
             for p in parts:
-                cols = [c.to_pylist() for c in p.columns]
-                step, at = 64, 0
-                while at < len(p):
-                    end, size = at, 0
-                    while end < len(p) and end - at < step and (end == at or size < CHUNK):
-                        size += cols[3][end] + cols[5][end]
-                        end += 1
+                size = pc.add(p.column(3), p.column(6))
+                for at, end in portions(size):
+                    cols = [c.slice(at, end - at).to_pylist() for c in p.columns]
                     names: dict[int, int] = {}
-                    raw = []
-                    for i in range(at, end):
-                        for k, z, n in ((cols[0][i], cols[2][i], cols[3][i]), (cols[1][i], cols[4][i], cols[5][i])):
+                    raw, rare = [], []
+                    for row in zip(*cols, strict=True):
+                        for k, z, n, r in ((row[0], *row[2:5]), (row[1], *row[5:])):
                             if k not in names:
                                 names[k] = len(raw)
                                 raw.append(unpack(z, n))
-                    off = np.cumsum([0] + [len(x) for x in raw])
-                    grams, weight, bound = shingles(np.frombuffer(b"".join(raw), np.uint8), off)
+                                rare.append(r)
+                    grams, weight, bound = shingles(shingles.parse(*joined_up(raw)), np.frombuffer(b"".join(rare), np.int32))
                     part = [(grams[bound[k] : bound[k + 1]], weight[bound[k] : bound[k + 1]]) for k in range(len(raw))]
-                    good = [i for i in range(at, end) if similarity(*part[names[cols[0][i]]], *part[names[cols[1][i]]]) >= settings.least]
+                    good = [i for i, (x, y) in enumerate(zip(cols[0], cols[1], strict=True)) if similarity(*part[names[x]], *part[names[y]]) >= settings.least]
                     yield pa.RecordBatch.from_arrays([pa.array([cols[k][i] for i in good], pa.int64()) for k in (0, 1)], names=["a", "b"])
-                    at = end
 
         return met.mapInArrow(run, "a bigint, b bigint")
 
     held, needed = dict[str, Shingles](), enough(settings)
+    nibble = np.arange(settings.bands * settings.rows)
 
-    def meet(p: pd.DataFrame) -> pd.DataFrame:
-        """Links between the texts of two blocks of a bucket: enough to connect what is similar, each pair in its first common bucket."""
-        i, root, w, block = (p[c].to_numpy() for c in ("i", "root", "weight", "b"))
-        bands, words = np.stack(p["bands"].to_list()), np.stack(p["sketch"].to_list()).view(np.uint64)
+    def likely_pairs(t: pa.Table, a: int, e: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Pairs of rows of a block pair that may be similar, in their first common bucket and of two classes, and how many samples agree."""
+        j, bi, bj, root, w, block = (t.column(c).slice(a, e - a).to_numpy() for c in ("j", "bi", "bj", "root", "weight", "b"))
+        bands, words = (np.stack(rows_of(t.column(c).slice(a, e - a).combine_chunks())) for c in ("bands", "sketch"))
         may = np.triu(root[:, None] != root[None, :], 1)
-        if p["bi"].iloc[0] != p["bj"].iloc[0]:
+        if bi[0] != bj[0]:
             may &= block[:, None] != block[None, :]
         may &= np.minimum.outer(w, w) >= np.maximum.outer(w, w) * (settings.least * 0.9999)
-        early = bands[:, : int(p["j"].iloc[0])]
-        may &= (early[:, None] != early[None, :]).all(2)
-        a, b = np.nonzero(may)
-        k = np.arange(settings.bands * settings.rows)
-        nibbles = (words[:, k // PER_WORD] >> (NIBBLE * (k % PER_WORD)).astype(np.uint64)).astype(np.uint8) & 15
-        agree = (nibbles[a] == nibbles[b]).sum(1)
-        a, b, agree = a[agree >= needed], b[agree >= needed], agree[agree >= needed]
-        if not len(a):
-            return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
-        shingles = held.get("s") or held.setdefault("s", Shingles(settings, common.value))
+        x, y = np.nonzero(may)
+        if len(x):
+            early = (bands[x, : j[0]] != bands[y, : j[0]]).all(1)
+            x, y = x[early], y[early]
+        nibbles = (words.view(np.uint64)[:, nibble // PER_WORD] >> (NIBBLE * (nibble % PER_WORD)).astype(np.uint64)).astype(np.uint8) & 15
+        agree = (nibbles[x] == nibbles[y]).sum(1)
+        ok = agree >= needed
+        return x[ok], y[ok], agree[ok]
+
+    def wanted(t: pa.Table, a: int, e: int) -> pa.RecordBatch | None:
+        """The rows of a block pair whose texts have to be compared."""
+        if e - a < 2:
+            return None
+        x, y, _ = likely_pairs(t, a, e)
+        rows = pa.array(a + np.union1d(x, y))
+        return t.take(rows).combine_chunks().to_batches()[0] if len(rows) else None
+
+    def meet(t: pa.Table, a: int, e: int) -> pa.RecordBatch | None:
+        """Links between the texts of two blocks of a bucket: enough to connect what is similar."""
+        xs, ys, agree = likely_pairs(t, a, e)
+        shingles = held.get("s") or held.setdefault("s", Shingles(settings, corpus.value))
         part: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        raw, at = [], []
-        for k in [*np.union1d(a, b).tolist(), -1]:
-            if raw and (k < 0 or sum(map(len, raw)) > CHUNK):
-                grams, weight, bound = shingles(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
-                part |= {x: (grams[bound[n] : bound[n + 1]], weight[bound[n] : bound[n + 1]]) for n, x in enumerate(at)}
-                raw, at = [], []
-            if k >= 0:
-                raw.append(unpack(p["z"].iloc[k], int(p["size"].iloc[k])))
-                at.append(k)
+        size, need = t.column("size").slice(a, e - a), np.union1d(xs, ys)
+        z, rare = (t.column(c).slice(a, e - a) for c in ("z", "rare"))
+        for at, end in portions(size.take(pa.array(need)).combine_chunks()):
+            raw = [unpack(z[k].as_py(), size[k].as_py()) for k in need[at:end].tolist()]
+            held_counts = np.frombuffer(b"".join([rare[k].as_py() for k in need[at:end].tolist()]), np.int32)
+            grams, weight, bound = shingles(shingles.parse(*joined_up(raw)), held_counts)
+            part |= {x: (grams[bound[n] : bound[n + 1]], weight[bound[n] : bound[n + 1]]) for n, x in enumerate(need[at:end].tolist())}
         up: dict[int, int] = {}
 
         def top(x: int) -> int:
@@ -327,14 +430,14 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
                 up[x] = x = up.get(y, y)
             return x
 
-        out, names = [], root.tolist()
+        out, names, i = [], t.column("root").slice(a, e - a).to_pylist(), t.column("i").slice(a, e - a).to_pylist()
         order = np.argsort(-agree, kind="stable")
-        for x, y in zip(a[order].tolist(), b[order].tolist(), strict=True):
+        for x, y in zip(xs[order].tolist(), ys[order].tolist(), strict=True):
             ra, rb = top(names[x]), top(names[y])
             if ra != rb and similarity(*part[x], *part[y]) >= settings.least:
                 up[max(ra, rb)] = min(ra, rb)
                 out.append((i[x], i[y]))
-        return pd.DataFrame(out, columns=["a", "b"]).astype(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     labels, rounds = None, 2
     for r in range(rounds + 1):
@@ -357,19 +460,23 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
         else:
             # What is left, such as copies that differ from most others, meets in blocks; block i meets block j >= i once.
             sizes = tmp.keep(open_.groupBy("j", "h").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("nb")), "blocks")
-            here = open_.join(sizes, ["j", "h"]).join(texts, "i").join(signed.select("i", "bands"), "i")
+            here = open_.join(sizes, ["j", "h"]).join(signed.select("i", "bands"), "i")
             here = here.withColumn("b", F.pmod(F.xxhash64("i"), F.col("nb")).cast("int"))
             duo = F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda o: F.struct(F.least("b", o).alias("bi"), F.greatest("b", o).alias("bj")))
-            here = here.select("j", "h", "i", "root", "weight", "sketch", "bands", "z", "size", "b", F.inline(duo))
-            found = here.groupBy("j", "h", "bi", "bj").applyInPandas(meet, "a bigint, b bigint")
+            group = ["j", "h", "bi", "bj"]
+            here = here.select("j", "h", F.inline(duo), "i", "root", "b", "weight", "sketch", "bands")
+            # Ids, weights and sketches meet first; texts only go where two of them may be similar.
+            need = tmp.keep(in_groups(here, group, wanted, ", ".join(f"{c} {kind}" for c, kind in here.dtypes)), "wanted")
+            found = in_groups(need.join(texts, "i"), group, meet, "a bigint, b bigint", rows=2_000)
         new = tmp.keep(found, "links")
         if new.limit(1).count():
             labels = merge(labels, new, tmp)
         if not open_.limit(1).count():
             break
     # Classes over distinct texts; then over rows.
-    texts_of = signed.select("i", "t1", "t2")
-    joined = texts_of.join(labels.withColumnRenamed("node", "i"), "i", "left") if labels is not None else texts_of.withColumn("root", F.lit(None).cast("long"))
+    number = F.col(f"`{doc_id}`").cast("long")
+    keys = signed.select("i", "t1", "t2")
+    joined = keys.join(labels.withColumnRenamed("node", "i"), "i", "left") if labels is not None else keys.withColumn("root", F.lit(None).cast("long"))
     joined = tmp.keep(joined.select(F.col("t1").alias("k1"), F.col("t2").alias("k2"), F.coalesce("root", "i").alias("root")), "joined")
     rows = keyed.groupBy("__t1", "__t2", number.alias("d")).agg(F.count(F.lit(1)).alias("c"))
     least = F.min(F.struct(F.col("d").isNotNull().alias("x"), "d", "c")).alias("m")
