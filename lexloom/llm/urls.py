@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexloom.llm.common import Scratch
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORDS = 8
 SALTS = (0x47B6137B, 0x44974D91, 0x8824AD5B, 0xA2B7289D, 0x705495C7, 0x2DF1424B, 0x9EFC4947, 0x5C6BFB31)
@@ -64,13 +66,14 @@ def filter_urls(pages: DataFrame, listed: DataFrame, rules: Sequence[tuple[str,
     is blocked and any other allowed. Distinct canonical urls probe the filter, by a join on the block, so a url that fills
     a third of the rows probes once; possible hits go to an exact join. The filter is a table: it is broadcast only where
     Spark finds it small enough. Null urls have empty host, path and canonical form, which can't be listed. Existing columns
-    of the added names are replaced; an empty list allows everything that no rule blocks.
+    of the added names are replaced; the list is written once, however it is made; an empty list allows everything that no rule blocks.
     """
     added = ("host", "path", "canonical_url", "rule", "verdict")
     u = F.col(f"`{url}`")
     kept = [F.col(f"`{c}`") for c in pages.columns if c not in added]
     df = pages.select(*kept, host(u).alias("host"), path(u).alias("path"), canonical(u).alias("canonical_url"))
     names = listed.select(F.col(listed.columns[0]).alias("__url")).where("__url is not null and __url <> ''").distinct()
+    names = Scratch(pages.sparkSession, "urls").keep(names, "listed")
     filt, blocks = bloom(names, "__url")
     c = F.col("canonical_url")
     keys = df.where(c != "").select("canonical_url").distinct()
