@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,12 +13,31 @@ from lexloom.llm.common import Scratch, read_table
 from lexloom.llm.queries import tokenizer_path
 
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def carrying(stage: Stage) -> Stage:
+    """Columns that documents have besides their own pass through a stage whatever their names."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        names = [c if c in COLUMNS else f"other_column_{i}" for i, c in enumerate(docs.columns)]
+        out = stage(spark, docs.toDF(*names), sf_dir)
+        back = dict(zip(names, docs.columns, strict=True))
+        return out.toDF(*[back[c] for c in out.columns])
+
+    return run
+
+
+@carrying
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, fitted on labelled ones among those given, does not reject."""
     model = toxicity.train(docs, read_table(spark, sf_dir, "labels"), Scratch(spark, "pipeline-toxicity"))
     return toxicity.score(docs, model).where("toxicity < 0.5").drop("toxicity")
 
 
+@carrying
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines shared by three documents or more stay in one. Documents stay, with n_chars of what is left."""
     out = lines.dedup_lines(docs)
@@ -23,11 +45,13 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return out.withColumn("n_chars", changed).drop("n_lines", "n_dropped")
 
 
+@carrying
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near duplicates."""
     return minhash.near_duplicates(docs).where("kept").select(*docs.columns)
 
 
+@carrying
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mixture takes them."""
     return mixing.mix_documents(docs, mixing.thirds)
@@ -52,7 +76,13 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to documents, each to what its predecessor wrote."""
+    """Applies the stages to documents, each to what its predecessor wrote.
+
+    Null, empty and blank texts are not toxic by themselves, have no near duplicates and no words: they stay until the mixture, which takes
+    them with whole repeats of their source only, and have no tokens. Of equal rows one stays in the near-duplicate stage; rows with one
+    doc_id and different texts are documents of their own. A null source is a source. An empty table gives an empty result. Columns
+    besides those of documents pass all stages but the last, whatever their names.
+    """
     tmp = Scratch(spark, "pipeline")
     docs = read_table(spark, sf_dir, "documents")
     for i, (name, stage) in enumerate(STAGES):
