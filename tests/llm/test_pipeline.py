@@ -69,6 +69,17 @@ def test_token_stage(spark, data, docs):  # noqa: F811
         assert got[r["doc_id"]].bpe_ids == ids and got[r["doc_id"]].ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
 
 
+def test_columns_of_any_name_pass(spark, data, docs):  # noqa: F811
+    names = "toxicity n_lines n_dropped class_id class_size kept size copies i j h z t1 __t1 __key __copies other_column_5".split()
+    more = docs.select("*", *[F.concat(F.lit(n), F.col("doc_id").cast("string")).alias(n) for n in names])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, more, data)
+        assert out.columns == more.columns, name
+        assert out.where(" or ".join(f"`{n}` <> concat('{n}', doc_id)" for n in names)).count() == 0, name
+    tokens = STAGES["bpe"](spark, more, data)
+    assert tokens.count() == docs.count() and not set(tokens.columns) & set(names)
+
+
 def odd(spark):
     """Rows with nulls in all columns, an empty and a very long text, repeats and ties, and columns of every name that operators use."""
     words = " ".join(f"w{i % 997}" for i in range(120_000))
