@@ -1,21 +1,68 @@
-"""Retrieval and answer metrics. truth: query_id, rank, id, content, score; retrieved: the same. Queries come from truth."""
+"""Retrieval and answer metrics. truth: query_id, rank, id, content, score; retrieved: the same. Queries come from truth.
+
+Where many queries share their truth, it is given as GroupedTruth, and no row is made for each pair of a query and what is true for it.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _hits(truth: DataFrame, retrieved: DataFrame, key: str = "content") -> DataFrame:
+@dataclass
+class GroupedTruth:
+    """The truth of queries (query_id, group) as the members of their group (group, id, content, score); queries whose group is null or
+    has no members have no truth. A query has one group."""
+
+    queries: DataFrame
+    members: DataFrame
+
+    def asked(self) -> DataFrame:
+        """Queries with truth, with their groups."""
+        return self.queries.join(F.broadcast(self.members.select("group").distinct()), "group", "left_semi")
+
+    def among(self, retrieved: DataFrame, key: str) -> DataFrame:
+        """The true (query_id, key, score) among what was retrieved: one row for each retrieved key, query and true row."""
+        r = retrieved.where(F.col(key).isNotNull()).select("query_id", F.col(key).alias("__key")).distinct().join(self.queries, "query_id")
+        m = self.members.select(F.col("group").alias("__g"), F.col(key).alias("__k"), "score")
+        return r.join(m, (F.col("__key") == F.col("__k")) & (F.col("group") == F.col("__g"))).select("query_id", F.col("__key").alias(key), "score")
+
+
+Truth = DataFrame | GroupedTruth
+
+#: Ranks whose discounts one row adds up.
+RANKS = 4096
+
+
+def _discounts(first: Column, last: Column) -> Column:
+    """The sum of 1 / log2(rank + 2) over ranks first to last."""
+    return F.aggregate(F.sequence(first, last), F.lit(0.0), lambda a, i: a + 1.0 / F.log2(i + F.lit(2.0)))
+
+
+def _ideal(truth: GroupedTruth) -> DataFrame:
+    """query_id and idcg. Members of one gain share a run of ranks, so ranks come from the counts of gains, in blocks, and no group is sorted."""
+    gains = truth.members.where("group is not null").groupBy("group", F.coalesce("score", F.lit(1.0)).alias("gain")).agg(F.count(F.lit(1)).alias("n"))
+    end = F.sum("n").over(Window.partitionBy("group").orderBy(F.desc("gain")).rowsBetween(Window.unboundedPreceding, 0))
+    runs = gains.withColumn("end", end - 1).withColumn("first", F.col("end") - F.col("n") + 1)
+    blocks = runs.select("group", "gain", "end", F.explode(F.sequence("first", "end", F.lit(RANKS).cast("long"))).alias("first"))
+    sums = blocks.groupBy("group").agg(F.sum(F.col("gain") * _discounts(F.col("first"), F.least(F.col("end"), F.col("first") + RANKS - 1))).alias("idcg"))
+    return truth.queries.join(sums, "group").select("query_id", "idcg")
+
+
+def _hits(truth: Truth, retrieved: DataFrame, key: str = "content") -> DataFrame:
     """Retrieved rows with `hit`: whether their key is among the truth of their query."""
+    if isinstance(truth, GroupedTruth):
+        truth = truth.among(retrieved, key)
     t = truth.where(F.col(key).isNotNull()).select("query_id", F.col(key).alias("__key")).distinct().withColumn("hit", F.lit(1))
     r = retrieved.select("query_id", "rank", F.col(key).alias("__key"))
     return r.join(t, ["query_id", "__key"], "left").select("query_id", "rank", "__key", F.coalesce("hit", F.lit(0)).alias("hit"))
 
 
-def _queries(truth: DataFrame, values: DataFrame) -> DataFrame:
+def _queries(truth: Truth, values: DataFrame) -> DataFrame:
+    truth = truth.asked() if isinstance(truth, GroupedTruth) else truth
     return truth.select("query_id").distinct().join(values, "query_id", "left").select("query_id", F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
@@ -24,7 +71,7 @@ def mean(scores: DataFrame) -> DataFrame:
     return scores.agg(F.avg("score").alias("score"))
 
 
-def average_precision(truth: DataFrame, retrieved: DataFrame) -> DataFrame:
+def average_precision(truth: Truth, retrieved: DataFrame) -> DataFrame:
     """Average precision at the hits, over the number of hits (not of all that is true)."""
     h = _hits(truth, retrieved)
     so_far = F.sum("hit").over(Window.partitionBy("query_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0))
@@ -32,32 +79,40 @@ def average_precision(truth: DataFrame, retrieved: DataFrame) -> DataFrame:
     return _queries(truth, h.groupBy("query_id").agg(F.try_divide(F.sum(F.col("p") * F.col("hit")), F.sum("hit")).alias("score")))
 
 
-def reciprocal_rank(truth: DataFrame, retrieved: DataFrame) -> DataFrame:
+def reciprocal_rank(truth: Truth, retrieved: DataFrame) -> DataFrame:
     h = _hits(truth, retrieved)
     return _queries(truth, h.where("hit = 1").groupBy("query_id").agg(F.max(1.0 / (F.col("rank") + 1)).alias("score")))
 
 
-def ndcg(truth: DataFrame, retrieved: DataFrame) -> DataFrame:
+def ndcg(truth: Truth, retrieved: DataFrame) -> DataFrame:
     """Normalised discounted gain by id; gains are the truth's scores, or 1 where it has none."""
-    t = truth.select("query_id", F.col("id"), F.coalesce("score", F.lit(1.0)).alias("gain"))
-    ideal = t.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("gain"))) - 1)
-    ideal = ideal.groupBy("query_id").agg(F.sum(F.col("gain") / F.log2(F.col("r") + F.lit(2.0))).alias("idcg"))
+    grouped = isinstance(truth, GroupedTruth)
+    t = (truth.among(retrieved, "id") if grouped else truth).select("query_id", F.col("id"), F.coalesce("score", F.lit(1.0)).alias("gain"))
+    if grouped:
+        ideal = _ideal(truth)
+    else:
+        ideal = t.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("gain"))) - 1)
+        ideal = ideal.groupBy("query_id").agg(F.sum(F.col("gain") / F.log2(F.col("r") + F.lit(2.0))).alias("idcg"))
     got = retrieved.select("query_id", "rank", "id").join(t.groupBy("query_id", "id").agg(F.max("gain").alias("gain")), ["query_id", "id"])
     got = got.groupBy("query_id").agg(F.sum(F.col("gain") / F.log2(F.col("rank") + F.lit(2.0))).alias("dcg"))
     both = ideal.join(got, "query_id", "left").select("query_id", F.coalesce(F.try_divide(F.coalesce("dcg", F.lit(0.0)), F.col("idcg")), F.lit(0.0)).alias("score"))
     return _queries(truth, both)
 
 
-def recall(truth: DataFrame, retrieved: DataFrame, mode: str = "single_hit") -> DataFrame:
+def recall(truth: Truth, retrieved: DataFrame, mode: str = "single_hit") -> DataFrame:
     """single_hit: 1 where anything true was retrieved; multi_hit: distinct true contents retrieved over all true rows."""
     if mode not in ("single_hit", "multi_hit"):
         raise ValueError(f"unknown recall mode {mode!r}")
-    t = truth.select("query_id", "content").distinct()
+    grouped = isinstance(truth, GroupedTruth)
+    t = (truth.among(retrieved, "content") if grouped else truth).select("query_id", "content").distinct()
     r = retrieved.select("query_id", F.col("content").alias("__c")).distinct().withColumnRenamed("query_id", "__q")
     found = t.join(r, (F.col("query_id") == F.col("__q")) & F.col("content").eqNullSafe(F.col("__c"))).groupBy("query_id").agg(F.count(F.lit(1)).alias("found"))
     if mode == "single_hit":
         return _queries(truth, found.select("query_id", F.lit(1.0).alias("score")))
-    n = truth.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
+    if grouped:
+        n = truth.queries.join(truth.members.groupBy("group").agg(F.count(F.lit(1)).alias("n")), "group").select("query_id", "n")
+    else:
+        n = truth.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
     return _queries(truth, found.join(n, "query_id").select("query_id", (F.col("found") / F.col("n")).alias("score")))
 
 

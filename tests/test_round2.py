@@ -2,8 +2,9 @@
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
-from lexloom.operators import retrieve
+from lexloom.operators import evaluate, retrieve
 from lexloom.plans import catalogue_more, catalogue_units  # noqa: F401
 from lexloom.plans.catalogue import ORACLES, QUERIES
 
@@ -36,3 +37,15 @@ def test_bm25_scores_documents_where_they_are(spark, tmp_path, monkeypatch, vari
         monkeypatch.setattr(retrieve, name, most)
     assert key(retrieve.bm25_topk(index, qs, 5, variant)) == key(got)
     assert key(retrieve.bm25_topk(retrieve.Bm25Index.load(docs, f"{tmp_path}/i"), qs, 5, variant)) == key(got)
+
+
+def test_truth_by_group_scores_as_pairs_do(spark, monkeypatch):
+    monkeypatch.setattr(evaluate, "RANKS", 3)
+    members = spark.createDataFrame([(i % 3 if i % 10 else None, i, str(i), None if i % 4 == 0 else float(i % 5)) for i in range(40)], "group int, id long, content string, score double")
+    queries = spark.createDataFrame([(0, 0), (1, 1), (2, 2), (3, None), (4, 9)], "query_id long, group int")
+    got = spark.createDataFrame([(q, r, (q * 7 + r * r) % 40, str((q * 7 + r * r) % 40)) for q in range(5) for r in range(6)], "query_id long, rank long, id long, content string")
+    one = evaluate.GroupedTruth(queries, members)
+    pairs = queries.join(members, "group").select("query_id", F.lit(0).cast("long").alias("rank"), "id", "content", "score")
+    for f in (evaluate.average_precision, evaluate.reciprocal_rank, evaluate.ndcg, evaluate.recall, lambda a, b: evaluate.recall(a, b, "multi_hit")):
+        key = lambda t: {r.query_id: pytest.approx(r.score) for r in f(t, got).collect()}  # noqa: B023, E731
+        assert {r.query_id: r.score for r in f(one, got).collect()} == key(pairs)
