@@ -175,6 +175,6 @@ def compare_reports(one: DataFrame, other: DataFrame, names: Sequence[str], metr
 
 
 def save_report(report: DataFrame, path: str, fmt: str = "csv") -> None:
-    """Writes a report as csv, json or parquet."""
-    w = report.coalesce(1).write.mode("overwrite")
+    """Writes a report as csv, json or parquet: a folder with a file of each task, so that no task takes the whole report."""
+    w = report.write.mode("overwrite")
     w.option("header", True).csv(path) if fmt == "csv" else w.format(fmt).save(path)

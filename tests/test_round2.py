@@ -49,3 +49,8 @@ def test_truth_by_group_scores_as_pairs_do(spark, monkeypatch):
     for f in (evaluate.average_precision, evaluate.reciprocal_rank, evaluate.ndcg, evaluate.recall, lambda a, b: evaluate.recall(a, b, "multi_hit")):
         key = lambda t: {r.query_id: pytest.approx(r.score) for r in f(t, got).collect()}  # noqa: B023, E731
         assert {r.query_id: r.score for r in f(one, got).collect()} == key(pairs)
+
+
+def test_report_is_written_by_many_tasks(spark, tmp_path):
+    evaluate.save_report(spark.range(100, numPartitions=4), f"{tmp_path}/r", "parquet")
+    assert len(list((tmp_path / "r").glob("*.parquet"))) == 4 and spark.read.parquet(f"{tmp_path}/r").count() == 100
