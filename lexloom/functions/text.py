@@ -133,6 +133,22 @@ def window_bounds(n: int, length: int, overlap: int, threshold: int = 0) -> list
     return out
 
 
+#: Characters and rows of input whose chunks a task holds at once.
+SLICE_CHARS, SLICE_ROWS = 1_000_000, 256
+
+
+def slices(p: pd.DataFrame, content: str) -> Iterator[pd.DataFrame]:
+    """Consecutive rows of at most SLICE_CHARS characters of content, or one row, and at most SLICE_ROWS: what is made of a batch need not be held whole."""
+    begin, held = 0, 0
+    for i, n in enumerate(p[content].map(len, na_action="ignore").fillna(0).astype(int).tolist()):
+        if i > begin and (held + n > SLICE_CHARS or i - begin >= SLICE_ROWS):
+            yield p.iloc[begin:i]
+            begin, held = i, 0
+        held += n
+    if begin < len(p):
+        yield p.iloc[begin:]
+
+
 OVERLAP = "array<struct<split_id: int, start: int, end: int>>"
 
 
@@ -164,7 +180,7 @@ def split_documents(df: DataFrame, by: str, length: int, overlap: int = 0, thres
         raise ValueError(f"unknown unit {by!r}")
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in parts:
+        for p in (x for batch in parts for x in slices(batch, content)):
             at: list[int] = []
             out: dict[str, list] = {k: [] for k in ("split_id", content, "split_idx_start", "page_number", "overlap_prev", "split_overlap")}
             for i, text in enumerate(p[content]):

@@ -1,10 +1,12 @@
 """What the review of the second round found: odd inputs, and figures that must not grow with the tables."""
 
 import duckdb
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from lexloom.operators import evaluate, retrieve
+from lexloom.functions import text as X
+from lexloom.operators import chunk, evaluate, models, retrieve
 from lexloom.plans import catalogue_more, catalogue_units  # noqa: F401
 from lexloom.plans.catalogue import ORACLES, QUERIES
 
@@ -54,3 +56,11 @@ def test_truth_by_group_scores_as_pairs_do(spark, monkeypatch):
 def test_report_is_written_by_many_tasks(spark, tmp_path):
     evaluate.save_report(spark.range(100, numPartitions=4), f"{tmp_path}/r", "parquet")
     assert len(list((tmp_path / "r").glob("*.parquet"))) == 4 and spark.read.parquet(f"{tmp_path}/r").count() == 100
+
+
+def test_chunks_of_a_batch_are_made_in_slices(spark, monkeypatch):
+    p = pd.DataFrame({"t": ["a" * 5, None, "b" * 9, "c", "d", "e", "f" * 30, ""]})
+    monkeypatch.setattr(X, "SLICE_CHARS", 10)
+    monkeypatch.setattr(X, "SLICE_ROWS", 3)
+    got = list(X.slices(p, "t"))
+    assert [len(x) for x in got] == [2, 2, 2, 1, 1] and pd.concat(got).equals(p) and not list(X.slices(p.iloc[:0], "t"))
