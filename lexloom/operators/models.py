@@ -203,10 +203,8 @@ def apply_model(model: str | Factory, returns: str, batch: int = 1024) -> Callab
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         f = load(model)
         for s in parts:
-            out: list = []
-            for i in range(0, len(s), batch):
-                out += list(f(s.iloc[i : i + batch].tolist()))
-            yield pd.Series(out, index=s.index)
+            for i in range(0, len(s), batch):  # given on as they are made, so that one batch of results is held
+                yield pd.Series(list(f(s.iloc[i : i + batch].tolist())))
 
     return run
 

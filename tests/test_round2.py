@@ -64,3 +64,16 @@ def test_chunks_of_a_batch_are_made_in_slices(spark, monkeypatch):
     monkeypatch.setattr(X, "SLICE_ROWS", 3)
     got = list(X.slices(p, "t"))
     assert [len(x) for x in got] == [2, 2, 2, 1, 1] and pd.concat(got).equals(p) and not list(X.slices(p.iloc[:0], "t"))
+
+
+def test_replies_are_given_on_batch_by_batch(spark):
+    held = []
+
+    def model():
+        return lambda batch: (held.append(1), batch)[1]
+
+    run = models.apply_model(model, "string", batch=10).func
+    first = next(iter(run(iter([pd.Series([str(i) for i in range(100)])]))))
+    assert len(first) == 10 and len(held) == 1
+    df = spark.range(2500).select(F.col("id").cast("string").alias("x"), "id")
+    assert df.select((models.apply_model(lambda: lambda b: b, "string", batch=7)("x").cast("long") == F.col("id")).alias("ok")).where("not ok").count() == 0
