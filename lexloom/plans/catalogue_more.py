@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -40,9 +42,12 @@ def hierarchical_split(s, d):
 
 @query()
 def hierarchy_merge(s, d):
-    nodes = chunk.hierarchical(_docs(s, d), [100, 25]).select("id", "parent_id", "n_children", "content")
-    hits = nodes.where("n_children = 0 and content rlike '[aeiou] '").select(F.lit(0).cast("long").alias("query_id"), "id")
-    return retrieve.auto_merge(hits, nodes.drop("content"))
+    """Nodes are cut once and written without their texts: every round of the merge reads them."""
+    made = chunk.hierarchical(_docs(s, d), [100, 25]).select("id", "parent_id", "n_children", F.expr("n_children = 0 and content rlike '[aeiou] '").alias("hit"))
+    made.write.parquet(path := f"{retrieve.shared_folder(s)}/{uuid.uuid4().hex}")
+    nodes = s.read.schema(made.schema).parquet(path)
+    hits = nodes.where("hit").select(F.lit(0).cast("long").alias("query_id"), "id")
+    return retrieve.auto_merge(hits, nodes.drop("hit"))
 
 
 @query()

@@ -77,3 +77,16 @@ def test_replies_are_given_on_batch_by_batch(spark):
     assert len(first) == 10 and len(held) == 1
     df = spark.range(2500).select(F.col("id").cast("string").alias("x"), "id")
     assert df.select((models.apply_model(lambda: lambda b: b, "string", batch=7)("x").cast("long") == F.col("id")).alias("ok")).where("not ok").count() == 0
+
+
+def test_hierarchy_is_cut_once(spark, monkeypatch, tmp_path):
+    calls = []
+    cut = chunk.hierarchical
+    monkeypatch.setattr(chunk, "hierarchical", lambda *a, **k: (calls.append(1), cut(*a, **k))[1])
+    spark.createDataFrame([(1, "a b c " * 60), (2, "xyz")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    out = QUERIES["hierarchy_merge"](spark, str(tmp_path))
+    assert len(calls) == 1 and "MapInPandas" not in out._jdf.queryExecution().toString()
+    read = []
+    monkeypatch.setattr(retrieve, "auto_merge", lambda hits, nodes: read.append((hits, nodes)) or hits)
+    QUERIES["hierarchy_merge"](spark, str(tmp_path))
+    assert all("MapInPandas" not in x._jdf.queryExecution().toString() for x in read[0])
