@@ -70,7 +70,8 @@ def extractive_reader(s, d):
     """The best documents of each item's second word, read for that word."""
     q = t(s, d, "benchmark").select(F.col("item_id").alias("query_id"), F.element_at(F.split("text", " "), 2).alias("query"))
     best = retrieve.bm25_topk(retrieve.Bm25Index(_docs(s, d)), q, 10).select("query_id", "id")
-    pairs = best.join(q, "query_id").join(_docs(s, d), "id")
+    # k rows for each item are sent to the texts, which stay where they are.
+    pairs = _docs(s, d).join(F.broadcast(best.join(q, "query_id")), "id")
 
     def factory():
         return lambda qs: [[(c.find(w), c.find(w) + len(w), 0.5 + 1 / (3 + c.find(w)))] if w in c else [] for w, c in qs]

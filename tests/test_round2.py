@@ -90,3 +90,14 @@ def test_hierarchy_is_cut_once(spark, monkeypatch, tmp_path):
     monkeypatch.setattr(retrieve, "auto_merge", lambda hits, nodes: read.append((hits, nodes)) or hits)
     QUERIES["hierarchy_merge"](spark, str(tmp_path))
     assert all("MapInPandas" not in x._jdf.queryExecution().toString() for x in read[0])
+
+
+def test_reader_leaves_the_texts_where_they_are(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = QUERIES["extractive_reader"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    at = plan.index("BroadcastHashJoin [id")
+    assert "SortMergeJoin [id" not in plan and at >= 0
