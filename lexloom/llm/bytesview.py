@@ -93,17 +93,3 @@ def words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     last[at - 1] = word[at - 1]
     starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
     return starts, ends, np.searchsorted(starts, off)
-
-
-def sliding(x: np.ndarray, w: int, least: bool) -> np.ndarray:
-    """Extreme of each w neighbours x[i : i + w], in time independent of w."""
-    f, fill = (np.minimum, np.uint64(MASK)) if least else (np.maximum, np.uint64(0))
-    n = len(x) - w + 1
-    if n <= 0:
-        return np.zeros(0, x.dtype)
-    pad = np.full(-(-len(x) // w) * w, fill, x.dtype)
-    pad[: len(x)] = x
-    blocks = pad.reshape(-1, w)
-    head = f.accumulate(blocks, axis=1).ravel()
-    tail = f.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
-    return f(tail[:n], head[w - 1 : w - 1 + n])
