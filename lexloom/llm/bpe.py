@@ -3,7 +3,8 @@
 A word is an array of token ids. The leaves of its tree hold (rank, position) of the pair that begins there, each inner
 node the lesser of its children, so the root yields the leftmost pair of lowest rank. A merge changes three leaves, whose
 paths to the root are recomputed; it ends when the root holds no pair. Words of at most 64 bytes are merged in step, one
-tree each in the rows of one array; longer ones with a tree of their own.
+tree each in the rows of one array; longer ones with a tree of their own. Texts are cut, their words told apart and ids and
+tokens laid end to end as whole columns; Python sees each different word of a slice once.
 """
 
 from __future__ import annotations
@@ -15,12 +16,15 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexloom.llm.bytesview import slices
 
 NONE = 1 << 62
+#: Bytes of text that are encoded at once.
+SLICE = 8_000_000
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?L+| ?N+| ?[^\sLN]+|\s+(?!\S)|\s+"""
 # White space of the pattern other than blank and line feed.
 ODD_SPACE = "\t\v\f\r\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -38,6 +42,14 @@ LATE = (
 )
 
 
+def latin(t: str) -> bool:
+    try:
+        t.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 class Splitter:
     """Words of a text by PATTERN, L and N being the letters and numbers of Unicode 16 whatever later ones the regex package knows."""
 
@@ -51,7 +63,7 @@ class Splitter:
         self.exact = regex.compile(known.replace(" ?L+", rf" ?(?:(?![{late}])\p{{L}})+").replace(" ?N+", rf" ?(?:(?![{late}])\p{{N}})+")).findall
 
     def __call__(self, t: str) -> list[str]:
-        return self.plain(t) if t.isascii() or not self.late(t) else self.exact(t)
+        return self.plain(t) if t.isascii() or latin(t) or not self.late(t) else self.exact(t)
 
 
 def byte_letters() -> dict[str, int]:
@@ -106,15 +118,16 @@ def slots(merges: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 class Encoder:
     """Encodes words by segment trees; a bounded table remembers the ids of words seen before."""
 
-    def __init__(self, model: dict, remember: int = 250_000):
+    def __init__(self, model: dict, remember: int = 2_000_000):
         import regex
 
         self.bytes = np.array(model["bytes"], np.int64)
         self.merges, self.special, self.remember = model["merges"], model["special"], remember
         self.pair, self.rank, self.made = model["slots"]
-        self.known: dict[str, bytes] = {}
+        self.forget()
         self.split = Splitter()
         self.tokens = model["tokens"]
+        self.token_column = pa.array([self.tokens.get(i, b"") for i in range(max(self.tokens) + 1)], pa.large_binary())
         self.at_special = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
 
     def _look(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -209,67 +222,143 @@ class Encoder:
                 put(prv[p], get((ids[prv[p]], ids[p]), none)[0])
         return np.array([x for x in ids if x >= 0], "<u4").tobytes()
 
-    def units(self, t: str) -> list[str]:
-        """Parts of a text that are split alike on their own: its words, or coarser ones that `learn` splits further.
+    def plain(self, t: str) -> bool:
+        """Whether every white space of a text is one blank or line feed between others.
 
-        Where every white space is one blank or line feed between others, each part is a line feed or what stands up to
-        the next blank or line feed, with the blank before it: no word of the pattern goes over such a bound.
+        Then a line feed, and what stands up to the next blank or line feed with the blank before it, are split alike on
+        their own: no word of the pattern goes over such a bound.
         """
         if "  " in t or "\n\n" in t or " \n" in t or "\n " in t or "\0" in t or t[:1] in " \n" or t[-1:] in " \n":
-            return self.split(t)
-        if any(c in t for c in (ODD_SPACE[:4] if t.isascii() else ODD_SPACE)):
-            return self.split(t)
-        return t.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
-
-    def learn(self, units: Iterable[str]) -> None:
-        """Encodes units that are not yet in the table."""
-        split = {u: self.split(u) for u in units}
-        words = {w for p in split.values() for w in p}
-        self._learn(words.difference(self.known))
-        get = self.known.__getitem__
-        self.known.update([(u, b"".join(map(get, p))) for u, p in split.items() if len(p) != 1])
-
-    def _learn(self, words: Iterable[str]) -> None:
-        groups: dict[int, list[tuple[str, bytes]]] = {}
-        for w in words:
+            return False
+        return not any(c in t for c in (ODD_SPACE[:4] if t.isascii() else ODD_SPACE))
+
+    def forget(self) -> None:
+        """Empties the table of words seen before, but for special tokens."""
+        self.words = pa.array(["\0special" + s for s in self.special], pa.large_string())
+        self.codes = pa.array([np.array([i], "<u4").tobytes() for i in self.special.values()], pa.large_binary())
+
+    def ids_of(self, kinds: pa.Array, units: bool = False) -> pa.Array:
+        """Ids of different words, or of units of plain texts; what is not in the table is added to it."""
+        at = pc.index_in(kinds, value_set=self.words)
+        if not at.null_count:
+            return self.codes.take(at)
+        new = kinds.filter(at.is_null())
+        codes = self._units(new.to_pylist()) if units else self._words(new.to_pylist())
+        at = pc.fill_null(at, -1).to_numpy().copy()
+        at[at < 0] = len(self.words) + np.arange(len(new))
+        self.words, self.codes = pa.concat_arrays([self.words, new]), pa.concat_arrays([self.codes, codes])
+        return self.codes.take(pa.array(at))
+
+    def _units(self, units: list[str]) -> pa.Array:
+        # A line feed between units is a word of its own, whatever stands around it.
+        some = [u for u in units if u != "\n"]
+        flat = self.split("\n".join(some)) if some else []
+        if len(flat) != 2 * len(some) - 1:
+            parts: list[list[str]] = [[]]
+            for w in flat:
+                if w == "\n":
+                    parts.append([])
+                else:
+                    parts[-1].append(w)
+        else:
+            parts = [[w] for w in flat[::2]]
+        words = pa.array([w for p in parts for w in p] + ["\n"], pa.large_string()).dictionary_encode()
+        ids, off = whole(self._of_words(words.dictionary), words.indices)
+        cuts = off[np.cumsum([0, *map(len, parts), 1])].tolist()
+        codes = [ids[x:y] for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
+        if len(some) < len(units):
+            codes.insert(units.index("\n"), codes[-1])
+        return pa.array(codes[: len(units)], pa.large_binary())
+
+    def _of_words(self, kinds: pa.Array) -> pa.Array:
+        at = pc.index_in(kinds, value_set=self.words)
+        new = self._words(kinds.filter(at.is_null()).to_pylist())
+        at = pc.fill_null(at, -1).to_numpy().copy()
+        at[at < 0] = len(self.words) + np.arange(len(new))
+        return pa.concat_arrays([self.codes, new]).take(pa.array(at))
+
+    def _words(self, words: list[str]) -> pa.Array:
+        groups: dict[int, list[tuple[int, bytes]]] = {}
+        for i, w in enumerate(words):
             b = w.encode()
-            groups.setdefault(max(1, 1 << (len(b) - 1).bit_length()), []).append((w, b))
+            groups.setdefault(max(1, 1 << (len(b) - 1).bit_length()), []).append((i, b))
+        out = [b""] * len(words)
         for width, group in groups.items():
-            if width > 64:
-                for w, b in group:
-                    self.known[w] = self.encode_long(b)
-            else:
-                step = max(1, 400_000 // width)
-                for i in range(0, len(group), step):
-                    part = group[i : i + step]
-                    self.known.update(zip([w for w, _ in part], self._batch([b for _, b in part], width), strict=True))
+            step = max(1, 400_000 // width)
+            for k in range(0, len(group), step):
+                part = [b for _, b in group[k : k + step]]
+                codes = [self.encode_long(b) for b in part] if width > 64 else self._batch(part, width)
+                for (i, _), c in zip(group[k : k + step], codes, strict=True):
+                    out[i] = c
+        return pa.array(out, pa.large_binary())
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        parts: list[list[str]] = []
-        for t in texts:
+        raw = [t.encode() for t in texts]
+        plain: list[int] = []
+        words: list[str] = []
+        other: list[tuple[int, int]] = []  # text and its number of words
+        for i, t in enumerate(texts):
             if self.at_special is not None and any(s in t for s in self.special):
-                pieces = []
+                mine = []
                 for k, x in enumerate(self.at_special.split(t)):
-                    pieces += [("special", x)] if k % 2 else [("", w) for w in self.split(x)]
-                parts.append([w if kind == "" else "\0special" + w for kind, w in pieces])
-                self.known |= {"\0special" + s: np.array([i], "<u4").tobytes() for s, i in self.special.items()}
+                    mine += ["\0special" + x] if k % 2 else self.split(x)
+            elif self.plain(t):
+                plain.append(i)
+                continue
             else:
-                parts.append(self.units(t))
-        if len(self.known) > self.remember:
-            self.known = {"\0special" + s: np.array([i], "<u4").tobytes() for s, i in self.special.items()}
-        fresh: set[str] = set()
-        for p in parts:
-            fresh.update(p)
-        self.learn(fresh.difference(self.known))
-        get = self.known.__getitem__
-        return [b"".join(map(get, p)) for p in parts]
+                mine = self.split(t)
+            other.append((i, len(mine)))
+            words += mine
+        if len(self.words) > self.remember:
+            self.forget()
+
+        # Units of plain texts begin at a blank, at and after a line feed, and where a text begins.
+        joined = b"".join([raw[i] for i in plain])
+        data = np.frombuffer(joined, np.uint8)
+        begins = np.cumsum([0, *[len(raw[i]) for i in plain]])
+        line = data == 10
+        bound = line | (data == 32)
+        bound[1:] |= line[:-1]
+        bound[begins[:-1][begins[:-1] < len(data)]] = True
+        at = np.append(np.flatnonzero(bound), len(data))
+        units = pa.LargeStringArray.from_buffers(len(at) - 1, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(joined)).dictionary_encode()
+        words_ = pa.array(words, pa.large_string()).dictionary_encode()
+
+        out: list[bytes] = [b""] * len(texts)
+        for column, ends, who in (
+            (units, np.searchsorted(at, begins), plain),
+            (words_, np.cumsum([0, *[n for _, n in other]]), [i for i, _ in other]),
+        ):
+            if len(column):
+                ids, off = whole(self.ids_of(column.dictionary, column is units), column.indices)
+                cuts = off[ends].tolist()
+                for i, x, y in zip(who, cuts[:-1], cuts[1:], strict=True):
+                    out[i] = ids[x:y]
+        return out
+
+    def decode_all(self, codes: list[bytes], expected: list[str]) -> list[bytes]:
+        """UTF-8 of the texts of ids, as `decode` gives them. Bytes that equal those of the expected text need no check."""
+        ids = np.frombuffer(b"".join(codes), "<u4")
+        text, off = whole(self.token_column, pa.array(ids))
+        cuts = off[np.cumsum([0, *[len(c) // 4 for c in codes]])].tolist()
+        back = [text[x:y] for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
+        return [b if b == t.encode() else b.decode("utf-8", "replace").encode() for b, t in zip(back, expected, strict=True)]
 
     def decode(self, ids: bytes) -> str:
         """The text of ids; bytes that are no UTF-8 become U+FFFD."""
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
 
 
+def whole(values: pa.Array, at: pa.Array) -> tuple[bytes, np.ndarray]:
+    """The binary values at these places end to end, and the offsets of each."""
+    if not len(at):
+        return b"", np.zeros(1, np.int64)
+    got = values.take(at)
+    off = np.frombuffer(got.buffers()[1], np.int64)[: len(got) + 1]
+    return got.buffers()[2].to_pybytes() if got.buffers()[2] is not None else b"", off
+
+
 def encode_documents(docs: DataFrame, path: str, text: str = "text", ids: bool = True, decoded: bool = False) -> DataFrame:
     """Adds bpe_ids (array of int; only with ids), bpe_text (only with decoded), n_tokens, ids_sha256 and decoded_sha256.
 
@@ -293,21 +382,23 @@ def encode_documents(docs: DataFrame, path: str, text: str = "text", ids: bool =
             gc.enable()  # the process serves other tasks
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = Encoder(model.value)
-        for whole in batches:
-            for batch in slices(whole, text, 1_500_000):
-                codes = enc.encode([t or "" for t in batch.column(batch.schema.get_field_index(text)).to_pylist()])
-                back = [enc.decode(c) for c in codes]
+        # The words learnt stay with the worker's copy of the model, for its next tasks.
+        enc = model.value.get("encoder") or model.value.setdefault("encoder", Encoder(model.value))
+        for held in batches:
+            for batch in slices(held, text, SLICE):
+                texts = [t or "" for t in batch.column(batch.schema.get_field_index(text)).to_pylist()]
+                codes = enc.encode(texts)
+                back = enc.decode_all(codes, texts)
                 cols = {
                     "n_tokens": pa.array([len(c) // 4 for c in codes], pa.int64()),
                     "ids_sha256": pa.array([hashlib.sha256(c).hexdigest() for c in codes]),
-                    "decoded_sha256": pa.array([hashlib.sha256(t.encode()).hexdigest() for t in back]),
+                    "decoded_sha256": pa.array([hashlib.sha256(t).hexdigest() for t in back]),
                 }
                 if ids:
                     ends = np.cumsum([0] + [len(c) // 4 for c in codes])
                     cols["bpe_ids"] = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(codes), "<u4").astype(np.int32)))
                 if decoded:
-                    cols["bpe_text"] = pa.array(back, pa.string())
+                    cols["bpe_text"] = pa.array([t.decode() for t in back], pa.string())
                 yield pa.RecordBatch.from_arrays([*batch.columns, *[cols[n] for n in names]], names=[*batch.schema.names, *names])
 
     return src.mapInArrow(run, schema)

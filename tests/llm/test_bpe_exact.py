@@ -51,3 +51,23 @@ def test_random_strings(both):
     pieces = ["a", "b'll", "'s", "12", "!", "é", "中文", " ", " ", "\n", "  ", "\t", "\r", "\x1c", "\x1f", "\0", "  ", "​", "\U0001f600", "<|endoftext|>", "՘", "½", *ODD_SPACE]
     for _ in range(10):
         assert not same(both, ["".join(rng.choices(pieces, k=rng.randrange(1, 14))) for _ in range(10_000)])
+
+
+def test_words_are_encoded_once(both, monkeypatch):
+    """Words seen before are not encoded again, in any slice, also where there are more than 250,000; nor do results depend on the table."""
+    enc = Encoder(load_model(queries.tokenizer_path()))
+    asked = []
+    batch = enc._batch
+    monkeypatch.setattr(enc, "_batch", lambda words, width: (asked.extend(words), batch(words, width))[1])
+    words = ["".join(chr(97 + i // 26**k % 26) for k in range(4)) for i in range(300_000)]
+    texts = [" ".join(words[i : i + 1_000]) for i in range(0, len(words), 1_000)]
+    enc.encode(texts[:150])
+    enc.encode(texts[150:])
+    n = len(asked)
+    assert n > 250_000
+    first = enc.encode(texts)
+    assert len(asked) == n
+    small = Encoder(load_model(queries.tokenizer_path()), remember=3)
+    mixed = [*texts[:3], "a\n  b\tc", "<|endoftext|> a", "'s x\nit's y", "a\nb", "", "\n", "a'll\n", "é ü's"] * 2
+    assert [small.encode([t])[0] for t in mixed] == small.encode(mixed) and not same((small, both[1]), mixed)
+    assert first[:3] == small.encode(mixed)[:3]
